@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,10 @@ DEMANDING = 4
 BITS = 20
 #: Rated documents that a term must occur in, and the weight of the mean grade in a term's grade.
 LEAST_DOCS, PRIOR = 3, 3.0
-EASY = 2.5
+#: A term is familiar if it stands in this share of the rated documents up to grade EASY (and in LEAST_DOCS of them).
+EASY, FAMILIAR = 2.5, 0.01
 #: Function words and particles that part runs of ideographs.
 FUNCTION_WORDS = "的了在和与之以是将就不也很都还把被让给对从向到由为有可能会要请我你他她它们这那其此及或若则而所于上下里去来后前时完成"
-_HAN = re.compile("[㐀-鿿]+")
-_RUN = re.compile(f"[^{FUNCTION_WORDS}\\W\\d_a-zA-Z]+")
 _WORD = re.compile(r"[a-zà-ÿ]+(?:'[a-z]+)?")
 _CLAUSE = re.compile(r"[,，。;；!！?？:：、.\n]+")
 _SENTENCE = re.compile(r"[。;；!！?？.\n]+")
@@ -50,12 +50,40 @@ _HIATUS = re.compile(r"i[ao]|[aeou]ing\b|eo|ua(?!r)|uou")
 _SILENT = re.compile(r"(?:[^aeiouyl]|[^aeiouy]e)e$|[^aeiouytd]ed$|[^aeiouysxz]es$")
 
 
+@lru_cache(200_000)
 def syllables(word: str) -> int:
     """Syllables of a lower-case word: vowel groups, more where two vowels part, less where an ending is silent."""
     n = len(_VOWELS.findall(word)) + len(_HIATUS.findall(word)) - len(_SILENT.findall(word))
     return max(1, n)
 
 
+@lru_cache(200_000)
+def _term(word: str) -> int:
+    return zlib.crc32(word.encode()) >> (32 - BITS)
+
+
+HAN, LETTER, FUNCTION, CLAUSE_END, SENTENCE_END = 1, 2, 4, 8, 16
+
+
+def _classes() -> np.ndarray:
+    """What each code point of the basic plane is, as bits."""
+    table = np.zeros(0x10000, dtype=np.uint8)
+    table[0x3400:0xA000] = HAN
+    table[[ord(c) for c in FUNCTION_WORDS]] |= FUNCTION
+    table[[*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0x100)]] = LETTER
+    table[[ord(c) for c in ",，:：、"]] = CLAUSE_END
+    table[[ord(c) for c in "。;；!！?？.\n"]] = CLAUSE_END | SENTENCE_END
+    return table
+
+
+_CLASSES = _classes()
+
+
+def _starts(mask: np.ndarray) -> int:
+    """How many runs of true values there are."""
+    return int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
+
+
 @dataclass
 class Measures:
     wide: bool  # mostly ideographs
@@ -68,27 +96,31 @@ class Measures:
 def measures(text: str) -> Measures | None:
     """What the formulas need of a body; None where there are no words."""
     low = text.lower()
-    runs = _HAN.findall(low)
-    han = sum(map(len, runs))
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    kinds = np.where(codes < 0x10000, _CLASSES[codes & 0xFFFF], 0)
+    han = (kinds & HAN) > 0
+    n_han = int(han.sum())
+    if n_han > 0.5 * int((kinds == LETTER).sum()):
+        solid = codes > 32
+        clauses = _starts(solid & ((kinds & CLAUSE_END) == 0))
+        clause = int((solid & ((kinds & CLAUSE_END) == 0)).sum()) / max(1, clauses)
+        sentences = _starts(solid & ((kinds & SENTENCE_END) == 0)) or 1
+        unit = han & ((kinds & FUNCTION) == 0)
+        units = _starts(unit) or 1
+        both = han[:-1] & han[1:]
+        c = codes.astype(np.uint64)
+        mixed = (c[:-1][both] * np.uint64(0x9E3779B1) + c[1:][both] * np.uint64(0x85EBCA77)) & np.uint64(0xFFFFFFFF)
+        terms = (mixed >> np.uint64(32 - BITS)).astype(np.int32)
+        return Measures(True, clause, float(np.log(max(1.0, units / sentences))), int(unit.sum()) / units, terms)
     words = _WORD.findall(low)
-    wide = han > 0.5 * sum(map(len, words))
-    if not wide and not words:
+    if not words:
         return None
     sentences = sum(1 for s in _SENTENCE.split(low) if len(s.strip()) > 3) or 1
-    if wide:
-        clauses = [len(c) for c in _CLAUSE.split(low) if len(c) > 1]
-        units = [len(u) for run in runs for u in _RUN.findall(run)] or [1]
-        c = np.frombuffer("".join(runs).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-        mixed = (c[:-1] * np.uint64(0x9E3779B1) + c[1:] * np.uint64(0x85EBCA77)) & np.uint64(0xFFFFFFFF)
-        inside = np.ones(len(mixed), dtype=bool)
-        inside[np.cumsum([len(r) for r in runs])[:-1] - 1] = False
-        terms = (mixed[inside] >> np.uint64(32 - BITS)).astype(np.int32)
-        spoken, per_word = float(np.mean(units)), len(units)
-    else:
-        clauses = [c.count(" ") + 1 for c in _CLAUSE.split(low) if c.strip()]
-        terms = np.array([zlib.crc32(w.encode()) >> (32 - BITS) for w in words if len(w) > 3], dtype=np.int32)
-        spoken, per_word = sum(map(syllables, words)) / len(words), len(words)
-    return Measures(wide, float(np.mean(clauses or [1])), float(np.log(max(1.0, per_word / sentences))), spoken, terms)
+    clauses = [c.count(" ") + 1 for c in _CLAUSE.split(low) if c.strip()]
+    terms = np.array([_term(w) for w in words if len(w) > 3], dtype=np.int32)
+    return Measures(
+        False, sum(clauses) / max(1, len(clauses)), float(np.log(max(1.0, len(words) / sentences))), sum(map(syllables, words)) / len(words), terms
+    )
 
 
 def body_text(text: str | None, title: str | None) -> str | None:
@@ -178,26 +210,40 @@ def fit(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_RATED) -> Mo
     )
     grades, easy = np.full(1 << BITS, np.nan, dtype=np.float32), np.zeros(1 << BITS, dtype=bool)
     model = Model(grades, easy, {})
-    rows = rated.collect()  # at most most_rated rows of five numbers and their term ids
-    if not rows:
+    mean = rated.agg(F.avg("grade").alias("m")).first()["m"]
+    if mean is None:
         return model
-    mean = float(np.mean([r["grade"] for r in rows]))
     term = by_term["term"].to_numpy(dtype=np.int64)
-    total, n = by_term["sum"].to_numpy(), by_term["n"].to_numpy()
-    easy[term] = by_term["easy"].to_numpy() >= LEAST_DOCS
+    total, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    total[term], n[term] = by_term["sum"].to_numpy(), by_term["n"].to_numpy()
+    n_easy = rated.where(F.col("grade") <= EASY).count()
+    easy[term] = by_term["easy"].to_numpy() >= max(LEAST_DOCS, FAMILIAR * n_easy)
+    grades[term] = (total[term] + PRIOR * mean) / (n[term] + PRIOR)
+    shared = docs.sparkSession.sparkContext.broadcast((model, total, n, mean))
     names = ("flesch", "dale_chall", "graded")
+    inputs = T.StructType([T.StructField("grade", T.DoubleType()), T.StructField("wide", T.BooleanType()), *(T.StructField(f, T.ArrayType(T.DoubleType())) for f in names)])
+
+    def measured(batches):
+        model, total, n, mean = shared.value
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                m = Measures(r["wide"], r["clause"], r["sentence"], r["syllables"], np.array(r["terms"], dtype=np.int32))
+                x = model.inputs(m)
+                t = m.terms[n[m.terms] > 0]
+                # a document's own rating must not speak through its terms
+                own = (total[t] - r["grade"] + PRIOR * mean) / (n[t] - 1 + PRIOR)
+                x["graded"] = [float(own.mean()) if len(t) else float("nan")]
+                rows.append((r["grade"], r["wide"], *(x[f] for f in names)))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            types = [pa.float64(), pa.bool_(), *[pa.list_(pa.float64())] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=inputs.names)
+
     points: dict = {}
-    known = dict(zip(term.tolist(), zip(total.tolist(), n.tolist())))
-    grades[term] = (total + PRIOR * mean) / (n + PRIOR)
-    for r in rows:
-        m = Measures(r["wide"], r["clause"], r["sentence"], r["syllables"], np.array(r["terms"], dtype=np.int32))
-        x = model.inputs(m)
-        # a document's own rating must not speak through its terms
-        own = [(known[t][0] - r["grade"] + PRIOR * mean) / (known[t][1] - 1 + PRIOR) for t in m.terms.tolist() if t in known]
-        x["graded"] = [float(np.mean(own)) if own else float("nan")]
+    for r in rated.mapInArrow(measured, inputs).collect():  # at most most_rated rows of a few numbers
         for name in names:
-            if not np.isnan(x[name]).any():
-                points.setdefault((m.wide, name), []).append((x[name], r["grade"]))
+            if not np.isnan(r[name]).any():
+                points.setdefault((r["wide"], name), []).append((r[name], r["grade"]))
     for key, values in points.items():
         if len(values) < 10:
             continue
