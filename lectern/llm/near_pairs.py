@@ -5,8 +5,9 @@ slips of the pen hardly change: unordered pairs of near ideographs, the letters
 runs, whole numbers.  Terms are ordered from rare to common.  Of each vector only the head is entered in the inverted
 lists: the tail is cut where it can no longer bring a dot product to the threshold, by the lesser of two bounds, the norm of
 the tail (residual norm) and the sum of its weights times the other side's greatest weight of each term (maximum weight).
-The first common term of a pair that reaches the threshold stands in both heads, so no pair is lost.  Pairs that meet in
-a list are pruned again by their partial product and residual norms; of the rest exact dot products are taken.
+The first common term of a pair that reaches the threshold stands in both heads, and the product of the two residual norms
+there bounds the pair's dot product; pairs that meet in a list under that bound are pruned, and no pair is lost.  Of the
+rest exact dot products are taken.
 
 The join runs on distinct wordings; copies of a question are one class and meet again only in the result.  An exact check
 follows: a pair counts if both ask the same of the same subject, so numbers must agree, and after politeness and question
@@ -15,6 +16,7 @@ words are set aside what is left must be equal but for slips (a doubled, dropped
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -24,8 +26,14 @@ from pyspark.sql import types as T
 
 from lectern.session import settled
 
-#: Pairs that count lie at 0.64 and above on data of this kind, slips and greetings included.
-THRESHOLD = 0.6
+#: Pairs that count lie at 0.59 and above on data of this kind, slips and greetings included.
+THRESHOLD = 0.5
+#: A term weighs ln(n / df) less IDF_FLOOR, at least LEAST_WEIGHT, so that what most questions share says next to nothing.
+IDF_FLOOR, LEAST_WEIGHT = 1.0, 0.1
+#: Bits of a term's number that hold its idf squared, and what one of them counts.
+CODE_BITS, CODE_UNIT = 20, 4096
+#: Rows (of some 40 bytes) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Politeness, question words and particles that two wordings of one question may differ in.
 FILLERS_ZH = """麻烦问一下 请问一下 请问 想问一下 想问 想了解一下 老师您好 老师好 老师 您好 你好 谢谢您 谢谢 多谢 怎样 如何 怎么 什么样 什么 有哪些
 哪些 哪里 应该 应当 具体 内容 一下 的 是 有 何 要 吗 呢 啊 吧 了 说 看 请 在 中 里 关于""".split()
@@ -156,92 +164,124 @@ def _read(cases: DataFrame, id_col: str, question_col: str, split_col: str, sour
     return once.where("question_id is not null and wording is not null").mapInArrow(run, _CASE).where("wording != ''")
 
 
-def _vectors(classes: DataFrame) -> DataFrame:
-    """(wording, train, held, terms): terms are structs (df, term, w, other) from rare to common, w normalised.
-
-    ``other`` is the greatest weight of the term on the other side, 0 if it doesn't occur there.
-    """
+def _postings(classes: DataFrame) -> DataFrame:
+    """(cid, train, held, terms): the hashed terms of each class."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            names = pa.array([terms(w) for w in b.column(0).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), names], names=["wording", "train", "held", "names"])
-
-    schema = T.StructType([*classes.schema.fields, T.StructField("names", T.ArrayType(T.StringType()))])
-    named = classes.mapInArrow(run, schema)
-    flat = settled(named.select("wording", "train", "held", F.explode(F.transform("names", lambda t: F.xxhash64(t))).alias("term")))
-    total = classes.sparkSession.createDataFrame([(1,)], "one int").select(F.lit(flat.select("wording").distinct().count()).cast("double").alias("n"))
-    df = flat.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("term", "df", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    weighed = flat.join(df, "term")
-    norms = weighed.groupBy("wording").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    weighed = weighed.join(norms, "wording").withColumn("w", F.col("idf") / F.col("norm")).select("wording", "train", "held", "term", "df", "w")
-    greatest = weighed.groupBy("term").agg(
-        F.coalesce(F.max(F.when(F.col("train"), F.col("w"))), F.lit(0.0)).alias("in_train"),
-        F.coalesce(F.max(F.when(F.col("held"), F.col("w"))), F.lit(0.0)).alias("in_held"),
+            names = pa.array([terms(w) for w in b.column(3).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), names], names=["cid", "train", "held", "names"])
+
+    narrow = classes.select("cid", "train", "held", "wording")
+    schema = T.StructType([*narrow.schema.fields[:3], T.StructField("names", T.ArrayType(T.StringType()))])
+    return narrow.mapInArrow(run, schema).select("cid", "train", "held", F.transform("names", lambda t: F.xxhash64(t)).alias("terms"))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A table kept in the shared folder, with a broadcast hint if it has at most BROADCAST_ROWS rows."""
+    df = settled(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _vectors(classes: DataFrame) -> DataFrame:
+    """(cid, train, held, norm, terms): terms are structs (df, term, w, other) from rare to common; w makes length 1.
+
+    Only terms that the other side has too are kept, since others can't be common; they count for the norm.  ``other`` is
+    the greatest weight of the term on the other side.  A term is a number that holds its idf squared, see _product.
+    """
+    listed = settled(_postings(classes))
+    n = listed.count()
+    one = F.lit(1)
+    idf = F.greatest(F.lit(LEAST_WEIGHT), F.log(F.lit(float(max(n, 1))) / F.col("df")) - IDF_FLOOR)
+    code = F.shiftleft("term", CODE_BITS).bitwiseOR(F.least(F.round(F.col("idf") * F.col("idf") * CODE_UNIT).cast("long"), F.lit((1 << CODE_BITS) - 1)))
+    frequency = _sized(
+        listed.select("train", "held", F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.count(one).alias("df"), F.max("train").alias("in_train"), F.max("held").alias("in_held"))
+        .where("df > 1 or (in_train and in_held)")  # any other occurs once, with df 1
+        .withColumn("idf", idf)
+        .withColumn("code", code)
+    )
+    common = (F.col("train") & F.col("in_held")) | (F.col("held") & F.col("in_train"))
+    alone = F.lit(max(LEAST_WEIGHT, math.log(max(n, 1)) - IDF_FLOOR))
+    vectors = (
+        listed.select("cid", "train", "held", F.explode("terms").alias("term"))
+        .join(frequency, "term", "left")
+        .withColumn("idf", F.coalesce("idf", alone))
+        .groupBy("cid", "train", "held")
+        .agg(
+            F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"),
+            F.sort_array(F.collect_list(F.when(common, F.struct("df", "code", "idf")))).alias("terms"),
+        )
+        .select(
+            "cid", "train", "held", "norm", F.transform("terms", lambda t: F.struct(t["df"].alias("df"), t["code"].alias("term"), (t["idf"] / F.col("norm")).alias("w"))).alias("terms")
+        )
     )
+    vectors = settled(vectors)
+    greatest = _sized(
+        vectors.select("train", "held", F.explode("terms").alias("t"))
+        .groupBy("t.term")
+        .agg(F.max(F.when(F.col("train"), F.col("t.w"))).alias("max_train"), F.max(F.when(F.col("held"), F.col("t.w"))).alias("max_held"))
+    )
+    other = F.greatest(F.when(F.col("train"), F.coalesce("max_held", F.lit(0.0))), F.when(F.col("held"), F.coalesce("max_train", F.lit(0.0))))
     return (
-        weighed.join(greatest, "term")
-        .withColumn("other", F.greatest(F.when(F.col("train"), F.col("in_held")).otherwise(0.0), F.when(F.col("held"), F.col("in_train")).otherwise(0.0)))
-        .groupBy("wording", "train", "held")
+        vectors.select("cid", "train", "held", "norm", F.explode("terms").alias("t"))
+        .select("cid", "train", "held", "norm", "t.df", "t.term", "t.w")
+        .join(greatest, "term")
+        .withColumn("other", other)
+        .groupBy("cid", "train", "held", "norm")
         .agg(F.sort_array(F.collect_list(F.struct("df", "term", "w", "other"))).alias("terms"))
     )
 
 
+def _product(a, b):
+    """The dot product of two arrays of terms before division by the norms: idf squared of what they have in common.
+
+    Both weights of a term have its idf, so a hashed intersection and the low bits of its terms give the sum.
+    """
+    return F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda acc, t: acc + t.bitwiseAND(F.lit((1 << CODE_BITS) - 1)) / F.lit(float(CODE_UNIT)))
+
+
 def _heads(vectors: DataFrame, side: str, threshold: float) -> DataFrame:
-    """(wording, tail, term, w) of the terms that one side enters in the inverted lists; tail is the norm of the rest.
+    """(cid, term, rest) of the terms that one side enters in the inverted lists.
 
-    Cut from the common end: the tail stays out while min(norm, sum of w * other) is under the threshold.  Terms the other
-    side lacks can't be common and count for nothing.
+    For each place of a vector two bounds hold for what the terms from there on can bring: their norm, and the sum of
+    their weights times the other side's greatest weight of each.  Places where the lesser is under the threshold make
+    the tail, which stays out; ``rest`` is the norm.
     """
-    common = F.filter("terms", lambda t: t["other"] > 0)
-    back = F.reverse("common")
-    start = F.struct(F.lit(0.0).alias("sq"), F.lit(0.0).alias("mw"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+    kind = "struct<sq:double,mw:double,out:array<struct<term:bigint,rest:double,most:double>>>"
+    start = F.struct(F.lit(0.0).alias("sq"), F.lit(0.0).alias("mw"), F.array().alias("out")).cast(kind)
 
     def step(acc, t):
         sq, mw = acc["sq"] + t["w"] * t["w"], acc["mw"] + t["w"] * t["other"]
-        stop = acc["done"] | (F.least(F.sqrt(sq), mw) >= threshold)
-        return F.struct(
-            F.when(stop, acc["sq"]).otherwise(sq).alias("sq"),
-            F.when(stop, acc["mw"]).otherwise(mw).alias("mw"),
-            F.when(stop, acc["n"]).otherwise(acc["n"] + 1).alias("n"),
-            stop.alias("done"),
-        )
+        place = F.struct(t["term"].alias("term"), F.sqrt(sq).alias("rest"), mw.alias("most"))
+        return F.struct(sq.alias("sq"), mw.alias("mw"), F.concat(acc["out"], F.array(place)).alias("out")).cast(kind)
 
+    places = F.aggregate(F.reverse("terms"), start, step, lambda acc: acc["out"])
     return (
         vectors.where(side)
-        .select("wording", common.alias("common"))
-        .withColumn("cut", F.aggregate(back, start, step))
-        .select(
-            "wording",
-            F.least(F.sqrt("cut.sq"), F.col("cut.mw")).alias("tail"),
-            F.explode(F.slice("common", F.lit(1), F.greatest(F.size("common") - F.col("cut.n"), F.lit(0)))).alias("t"),
-        )
-        .select("wording", "tail", F.col("t.term").alias("term"), F.col("t.w").alias("w"))
+        .select("cid", F.explode(places).alias("p"))
+        .where((F.col("p.rest") >= threshold - 1e-9) & (F.col("p.most") >= threshold - 1e-9))
+        .select("cid", F.col("p.term").alias("term"), F.col("p.rest").cast("float").alias("rest"))
     )
 
 
 def cosine_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, cosine) of all pairs of a train wording a and a held-out wording b with cosine >= threshold.
+    """(a, b, cosine) of all pairs of a train class a and a held-out class b with cosine >= threshold.
 
-    classes: wording (distinct), train and held (whether it stands in either side; in both, it also meets itself).
+    classes: cid, wording (distinct), train and held (whether it stands in either side; in both, it also meets itself).
     """
     vectors = settled(_vectors(classes))
-    left = _heads(vectors, "train", threshold).select(F.col("wording").alias("a"), F.col("tail").alias("ta"), "term", F.col("w").alias("wa"))
-    right = _heads(vectors, "held", threshold).select(F.col("wording").alias("b"), F.col("tail").alias("tb"), "term", F.col("w").alias("wb"))
-    met = (
-        left.join(right, "term")
-        .groupBy("a", "b")
-        .agg(F.sum(F.col("wa") * F.col("wb")).alias("partial"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
-        .where(F.col("partial") + F.greatest("ta", "tb") >= threshold - 1e-9)
-        .select("a", "b")
-    )
-    weights = F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], t["w"])))
-    va = vectors.where("train").select(F.col("wording").alias("a"), weights.alias("ma"))
-    vb = vectors.where("held").select(F.col("wording").alias("b"), F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["w"].alias("w"))).alias("xb"))
-    dot = F.aggregate("xb", F.lit(0.0), lambda acc, x: acc + F.coalesce(F.try_element_at("ma", x["term"]), F.lit(0.0)) * x["w"])
-    return met.join(va, "a").join(vb, "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold)
+    left = _heads(vectors, "train", threshold).select(F.col("cid").alias("a"), "term", F.col("rest").alias("ra"))
+    right = _heads(vectors, "held", threshold).select(F.col("cid").alias("b"), F.col("term").alias("term_b"), F.col("rest").alias("rb"))
+    # of the pair's common terms the rarest comes first; all it can reach is the product of the norms from there on
+    met = left.join(right, (F.col("term") == F.col("term_b")) & (F.col("ra") * F.col("rb") >= threshold - 1e-4)).select("a", "b").distinct()
+    va = vectors.where("train").select(F.col("cid").alias("a"), F.col("norm").alias("na"), F.transform("terms", lambda t: t["term"]).alias("xa"))
+    vb = vectors.where("held").select(F.col("cid").alias("b"), F.col("norm").alias("nb"), F.transform("terms", lambda t: t["term"]).alias("xb"))
+    cosine = _product("xa", "xb") / (F.col("na") * F.col("nb"))
+    return met.join(va, "a").join(vb, "b").select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def overlaps(
@@ -261,7 +301,10 @@ def overlaps(
     read = settled(_read(cases, id_col, question_col, split_col, source_col).where("split_name is not null"))
     is_train = F.col("split_name") == train
     classes = read.groupBy("wording").agg(F.max(is_train).alias("train"), F.max(~is_train).alias("held"))
+    classes = settled(classes.withColumn("cid", F.monotonically_increasing_id()))
     pairs = cosine_pairs(classes, threshold)
+    pairs = pairs.join(classes.select(F.col("cid").alias("a"), F.col("wording").alias("wa")), "a").join(classes.select(F.col("cid").alias("b"), F.col("wording").alias("wb")), "b")
+    pairs = pairs.select("wa", "wb", "cosine")
 
     def run(batches):
         import pyarrow as pa
@@ -270,10 +313,10 @@ def overlaps(
             same = [same_question(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield b.filter(pa.array(same, pa.bool_()))
 
-    pairs = settled(pairs.mapInArrow(run, pairs.schema))
-    left = read.where(is_train).select(F.col("wording").alias("a"), F.col("question_id").alias("train_id"))
-    right = read.where(~is_train).select(F.col("wording").alias("b"), F.col("question_id").alias("held_id"), "split_name", "source_id")
-    return pairs.join(left, "a").join(right, "b").select("train_id", "held_id", "split_name", "source_id", "cosine")
+    pairs = pairs.mapInArrow(run, pairs.schema)
+    left = read.where(is_train).select(F.col("wording").alias("wa"), F.col("question_id").alias("train_id"))
+    right = read.where(~is_train).select(F.col("wording").alias("wb"), F.col("question_id").alias("held_id"), "split_name", "source_id")
+    return pairs.join(left, "wa").join(right, "wb").select("train_id", "held_id", "split_name", "source_id", "cosine")
 
 
 def overlap_counts(found: DataFrame) -> DataFrame:
