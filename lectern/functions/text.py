@@ -61,7 +61,9 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 def bigrams(c: Column) -> Column:
     """All pairs of neighbouring characters."""
-    return F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    chars = F.split(c, "")
+    pairs = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b))
+    return F.when(F.length(c) >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def sparse_tokens(c: Column) -> Column:
@@ -105,12 +107,16 @@ def important_terms(question: Column, lexicon: Lexicon = CAMPUS, most: int = 8)
     return F.array_distinct(F.slice(F.filter(all_matches(question, TERM), lambda t: ~F.array_contains(stop, t)), 1, most))
 
 
+def _without(pattern: str):
+    return lambda c: F.regexp_replace(c, pattern, "")
+
+
 def qualifiers(question: Column, lexicon: Lexicon = CAMPUS) -> Column:
     """What stands before the word for campus, without the site's name, distinct, in order."""
     ignored = F.array(*map(F.lit, lexicon.ignored_qualifiers))
     bare = all_matches(question, QUALIFIER, 1)
     for name in lexicon.site_names:
-        bare = F.transform(bare, lambda q, name=name: F.regexp_replace(q, "^" + name, ""))
+        bare = F.transform(bare, _without("^" + name))
     return F.array_distinct(F.filter(bare, lambda q: (q != "") & ~F.array_contains(ignored, q)))
 
 

@@ -25,10 +25,10 @@ def tokens_of(chunks: DataFrame, text_col: str = "embedding_text", tokens: Colum
 def postings(tokenized: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, dl), dl being the chunk's length in tokens.
 
-    A chunk's counts are made where the chunk is: its distinct tokens with their numbers, no shuffle.
+    A chunk's tokens are all in one partition, so the counts are complete before the shuffle, one row for each term of it.
     """
-    counts = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda u: u == t)).alias("tf")))
-    return tokenized.select("chunk_id", F.size("tokens").alias("dl"), F.explode(counts).alias("p")).select("p.term", "chunk_id", "p.tf", "dl")
+    each = tokenized.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return each.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "chunk_id", "tf", "dl")
 
 
 def corpus(tokenized: DataFrame) -> DataFrame:
