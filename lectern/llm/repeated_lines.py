@@ -116,17 +116,24 @@ def sited_lines(docs: DataFrame, manifest: DataFrame, id_col: str = "doc_id", re
 
 
 def repeated(sited: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, capacity: int = CAPACITY) -> DataFrame:
-    """(site, value, n_docs, n_site) of the wordings in at least least_docs and least_share of a site's documents."""
+    """(site, value, n_docs, n_site) of the wordings in at least least_docs and least_share of a site's documents.
+
+    Where so much was taken off at a site that a wording without any counter could reach the threshold (documents with
+    more than least_share * capacity distinct lines on average), all wordings of that site are counted.
+    """
     sizes = sited.groupBy("site").agg(F.count(F.lit(1)).alias("n_site")).withColumn("need", F.greatest(F.lit(least_docs), F.ceil(F.col("n_site") * F.lit(least_share) - 1e-9)))
     summary = _summaries(sited, capacity).groupBy("site", "value").agg(F.sum("n").alias("n"))
+    summary = settled(summary)
     off = summary.where("value is null").select("site", F.col("n").alias("off"))
-    bound = summary.where("value is not null").join(sizes, "site").join(off, "site", "left")
-    candidates = settled(bound.where("n + coalesce(off, 0) >= need").select("site", "value", "n_site", "need"))
+    sizes = settled(sizes.join(off, "site", "left").withColumn("off", F.coalesce("off", F.lit(0))))
+    bound = summary.where("value is not null").join(sizes.where("off < need"), "site")
+    candidates = settled(bound.where("n + off >= need").select("site", "value"))
     if candidates.count() <= BROADCAST_ROWS:
         candidates = F.broadcast(candidates)
     each = sited.select("site", F.explode(F.array_distinct("values")).alias("value"))
-    counted = each.join(candidates.select("site", "value"), ["site", "value"], "left_semi").groupBy("site", "value").agg(F.count(F.lit(1)).alias("n_docs"))
-    return counted.join(candidates, ["site", "value"]).where("n_docs >= need").select("site", "value", "n_docs", "n_site")
+    rows = each.join(candidates, ["site", "value"], "left_semi").unionByName(each.join(sizes.where("off >= need").select("site"), "site", "left_semi"))
+    counted = rows.groupBy("site", "value").agg(F.count(F.lit(1)).alias("n_docs"))
+    return counted.join(sizes, "site").where("n_docs >= need").select("site", "value", "n_docs", "n_site")
 
 
 def repeated_lines(sited: DataFrame, confirmed: DataFrame, id_col: str = "doc_id") -> DataFrame:
