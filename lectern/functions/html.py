@@ -54,9 +54,10 @@ def _strings(node: Node):
         if isinstance(c, str):
             yield c
         else:
+            apart = " " if c.tag in BLOCK or c.tag == "br" else ""
+            yield apart
             yield from _strings(c)
-            if c.tag in BLOCK or c.tag == "br":
-                yield " "
+            yield apart
 
 
 class _Builder(HTMLParser):
