@@ -50,7 +50,7 @@ _KEYED = {
     r"|postedby.{2,80}in|publishedby.{2,80}on\d|(?:浏览|阅读|访问|点击)(?:次数|量|数)\d+|阅读\d+次|点击\d+次|views?\d+$"
     r"|lastupdated\d+(?:visits)?|\d+visits$|页面?浏览量",
     TOOLS: r"分享到|分享本页|分享给|觉得有用.{0,8}(?:转发|分享)|收藏本页|返回顶部$|回到顶部$|打印本页|关闭窗口$|字体大中小|字号大中小"
-    r"|tellafriendabout|foundthisuseful|sharethispageon|sharethispagewith|shareon(?:facebook|twitter|x)"
+    r"|tellafriendabout|foundthisuseful|sharethis(?:page|site|article)(?:on|with|via|by|mail|email|chat|copy|link|facebook|twitter|wechat)|shareon(?:facebook|twitter|x)"
     r"|printthispage|closewindow$|textsizea|backtotop$|emailthispage",
     LEGAL: r"版权所有|本[页站]内容版权|.{0,30}未经许可不得(?:转载|复制)|免责声明|法律声明|隐私(?:政策|声明)|使用本站即视为"
     r"|copyrightofthispage|copyright(?:19|20)\d\d|(?:19|20)\d\d(?:19|20)?\d{0,2}.{2,80}allrightsreserved|disclaimer|useofthissiteimplies"
