@@ -48,6 +48,7 @@ _KEYED = {
     r"|essentialcookiesonly|weusecookies|bycontinuingtobrowse|thissiteusescookies|the.{2,60}sitestorescookies|acceptallcookies|cookiesettings$",
     BYLINE: r"来源.{1,24}(?:编辑|作者|审核)|(?:发布|更新)(?:时间|日期)\d|作者.{1,12}(?:来源|编辑|时间)|编辑.{1,12}审核"
     r"|postedby.{2,80}in|publishedby.{2,80}on\d|(?:浏览|阅读|访问|点击)(?:次数|量|数)\d+|阅读\d+次|点击\d+次|views?\d+$"
+    r"|\d+(?:people|readers|users|visitors)?(?:have)?(?:read|viewed|visited)this(?:page|article)|readby\d+|\d+人(?:已|次)?(?:阅读|浏览|看过)"
     r"|lastupdated\d+(?:visits)?|\d+visits$|页面?浏览量",
     TOOLS: r"分享到|分享本页|分享给|觉得有用.{0,8}(?:转发|分享)|收藏本页|返回顶部$|回到顶部$|打印本页|关闭窗口$|字体大中小|字号大中小"
     r"|tellafriendabout|foundthisuseful|sharethis(?:page|site|article)(?:on|with|via|by|mail|email|chat|copy|link|facebook|twitter|wechat)|shareon(?:facebook|twitter|x)"
