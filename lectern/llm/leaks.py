@@ -28,7 +28,7 @@ from pyspark.sql.types import StructField, StructType
 from lectern.llm import codes
 
 #: (k, the least piece) for runs of ideographs and for runs of letters of alphabets, which say less each
-WIDE, NARROW = (8, 20), (16, 48)
+WIDE, NARROW = (8, 20), (16, 40)
 SHARE = 0.5
 #: Letters that may differ between two matches of one piece, and the longest stretch between them.
 ALTERED, STRETCH = 4, 40
@@ -90,20 +90,27 @@ def _shard_hits(shard: np.ndarray, items: _Items) -> tuple[np.ndarray, np.ndarra
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two stretches between matches are the same but for a few letters."""
-    n, m = len(a), len(b)
-    if n > STRETCH or m > STRETCH or abs(n - m) > 3:
+    """Whether two stretches between matches are the same but for a few letters: their edit distance is small."""
+    x, y = a.tolist(), b.tolist()
+    if len(x) > STRETCH or len(y) > STRETCH:
         return False
-    s = min(n, m)
-    if s == 0:
-        return max(n, m) <= ALTERED
-    same = a[:s] == b[:s]
-    front = s if same.all() else int(np.argmin(same))
-    same = a[n - s :][::-1] == b[m - s :][::-1]
-    back = s if same.all() else int(np.argmin(same))
-    if max(n, m) - min(s, front + back) <= ALTERED:
+    most = max(ALTERED, min(len(x), len(y)) // 4)
+    if abs(len(x) - len(y)) > most:
+        return False
+    while x and y and x[0] == y[0]:
+        x, y = x[1:], y[1:]
+    while x and y and x[-1] == y[-1]:
+        x, y = x[:-1], y[:-1]
+    if max(len(x), len(y)) <= most:
         return True
-    return n == m and int((a != b).sum()) <= max(ALTERED, n // 4)
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        if min(row) > most:
+            return False
+    return row[-1] <= most
 
 
 def _covered(item: np.ndarray, doc: np.ndarray, runs: list[tuple[int, int, int]], least: int) -> tuple[int, int]:
