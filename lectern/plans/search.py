@@ -124,9 +124,9 @@ def e01_j01_term_stats(spark: SparkSession, d: str) -> DataFrame:
     return ix.term_stats(ix.postings(tokens), ix.corpus(tokens)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({q.rerank_tokens(TEXT)}) AS term FROM documents WHERE lang = 'en') GROUP BY doc_id, term")
+@query(f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({q.rerank_tokens(TEXT)}) AS term FROM documents) GROUP BY doc_id, term")
 def e05_term_bags(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", F.explode(tx.rerank_tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
