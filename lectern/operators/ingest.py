@@ -61,17 +61,18 @@ def new_fetches(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     fresh = fresh.join(existing.select("content_hash").where("content_hash is not null").distinct(), "content_hash", "left_anti")
 
     def first(df: DataFrame, key: str) -> DataFrame:
-        # null keys would all meet in one task; they have their own branch
-        known = df.where(F.col(key).isNotNull())
-        ranked = known.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
-        return ranked.unionByName(df.where(F.col(key).isNull()))
+        # the first of each key is picked on both sides of the shuffle, so a key of very many rows is no hot group;
+        # null keys have their own branch
+        best = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+        return best.select("_row.*").unionByName(df.where(F.col(key).isNull()))
 
     return first(first(fresh, "url"), "content_hash")
 
 
 def upserted(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
-    """Current rows replaced by the last change of their key, and the changes of new keys."""
-    last = changes.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
+    """Current rows replaced by the last change of their key, and the changes of new keys; changes without a key are dropped."""
+    known = changes.where(F.col(key).isNotNull())
+    last = known.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*changes.columns), F.col(order)).alias("_row")).select("_row.*")
     return current.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
@@ -108,8 +109,10 @@ def frontier(edges: DataFrame, sources: DataFrame) -> DataFrame:
         )
         last = settled(step.withColumn("depth", F.lit(depth)))
         reached = reached.unionByName(last)
+    most = sources.agg(F.max("max_pages").alias("m")).first()["m"] or 0
     ranked = reached.withColumn("_n", F.row_number().over(W.partitionBy("source_id").orderBy("depth", "url")))
-    return ranked.join(known.select("source_id", "max_pages"), "source_id").where("_n <= max_pages").select("source_id", "url", "depth")
+    # the limit that holds for all sources is applied before the shuffle, within each partition
+    return ranked.where(F.col("_n") <= most).join(known.select("source_id", "max_pages"), "source_id").where("_n <= max_pages").select("source_id", "url", "depth")
 
 
 def documents_of(fetches: DataFrame, parsed: DataFrame, sources: DataFrame, lexicon: Lexicon = CAMPUS) -> DataFrame:

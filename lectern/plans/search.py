@@ -17,7 +17,8 @@ from lectern.operators.ingest import small
 from lectern.plans import fragments as q
 from lectern.plans.registry import query
 from lectern.plans.tables import TEXT, chunk_hits
-from lectern.session import settled, table
+from lectern.session import scratch, settled, table
+from lectern.streaming import fetches
 
 EMPTY = "array<string>"
 
@@ -498,12 +499,7 @@ def h05_e12_distinct_in_order(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def l_first_seen_fetches(spark: SparkSession, d: str) -> DataFrame:
     """The manifest as a stream of files: contents seen first, counted by source, all that is there processed once."""
-    import uuid
-
-    from lectern.session import shared_folder
-    from lectern.streaming import fetches
-
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark)
     batch = table(spark, d, "manifest").withColumn("crawl_time", F.col("crawl_time").cast("timestamp"))
     batch.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(batch.schema).parquet(f"{path}/in")

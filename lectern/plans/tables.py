@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from lectern.operators import evaluation, ingest
 from lectern.operators import indexing as ix
 from lectern.plans import fragments as q
 from lectern.plans.registry import query
-from lectern.session import shared_folder, table
+from lectern.session import scratch, table
 from lectern.sources import readers, writers
 
 TEXT = "coalesce(text, '')"
@@ -31,10 +29,6 @@ def normalized_sql(u: str) -> str:
     return f"{scheme} || '://' || {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END"
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
-
-
 # A, B: sources and sinks
 
 
@@ -46,7 +40,7 @@ def a03_enabled_sources(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, url, local_path, mime_type, status_code, content_hash, source_id, title, parent_url FROM manifest")
 def a07_b03_json_lines(spark: SparkSession, d: str) -> DataFrame:
     """The manifest written as JSON lines and read again with its schema."""
-    path = _folder(spark)
+    path = scratch(spark)
     writers.json_lines(table(spark, d, "manifest"), path)
     return readers.manifest(spark, path).drop("crawl_time")
 
@@ -54,7 +48,7 @@ def a07_b03_json_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT question_id, question, answerable, split_name FROM eval_cases")
 def a08_b09_cases_by_split(spark: SparkSession, d: str) -> DataFrame:
     """Cases written in a folder for each split and read again."""
-    path = _folder(spark)
+    path = scratch(spark)
     writers.by_split(table(spark, d, "eval_cases"), path)
     schema = "question_id string, question string, answerable boolean, split_name string"
     return spark.read.schema(schema).json(path).distinct()
@@ -85,7 +79,7 @@ def a10_parsed_html(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT source_id, count(*)::VARCHAR AS n, count(DISTINCT doc_id)::VARCHAR AS pages FROM manifest GROUP BY source_id")
 def a14_b11_csv_summary(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch(spark)
     counts = table(spark, d, "manifest").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("pages"))
     writers.csv_summary(counts, path)
     return readers.csv_rows(spark, path)
@@ -99,7 +93,7 @@ def a17_demo_questions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source_id, count(*) AS n FROM manifest GROUP BY source_id UNION ALL SELECT 'snapshots', 1")
 def b01_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """The latest manifest after a snapshot was written, counted by source, and the number of snapshots."""
-    path = _folder(spark)
+    path = scratch(spark)
     writers.snapshot(table(spark, d, "manifest"), path, "20260101T000000Z")
     latest = spark.read.parquet(f"{path}/latest").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     kept = spark.read.parquet(f"{path}/snapshots").agg(F.countDistinct("snapshot").alias("n")).select(F.lit("snapshots").alias("source_id"), "n")
@@ -109,7 +103,7 @@ def b01_snapshot(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {q.CHUNK}, t AS (SELECT chunk_id, {q.sparse_tokens('embedding_text')} AS tokens FROM chunk) SELECT term, count(*) AS tf FROM (SELECT unnest(tokens) AS term FROM t) GROUP BY term")
 def b06_sparse_index(spark: SparkSession, d: str) -> DataFrame:
     """The index tables written and read again: each term with its number of occurrences."""
-    path = _folder(spark)
+    path = scratch(spark)
     tokens = ix.tokens_of(chunk_hits(spark, d))
     entries = ix.postings(tokens)
     lengths = tokens.select("chunk_id", F.size("tokens").alias("dl"))
@@ -120,7 +114,7 @@ def b06_sparse_index(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT category, count(*) AS n FROM (SELECT DISTINCT ON (chunk_id) chunk_id, coalesce(metadata.category, 'unknown') AS category FROM chunks WHERE chunk_id IS NOT NULL) GROUP BY category")
 def b07_b08_vector_index(spark: SparkSession, d: str) -> DataFrame:
     """Chunks hashed to vectors, written by category with their payload and read again."""
-    path = _folder(spark)
+    path = scratch(spark)
     chunks = chunk_hits(spark, d)
     payload = chunks.select("chunk_id", "doc_id", F.coalesce("metadata.category", F.lit("unknown")).alias("category"), "metadata.effective_year", "metadata.status")
     writers.vector_index(payload.join(ix.hashed_embeddings(chunks), "chunk_id"), path)

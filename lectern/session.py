@@ -23,15 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The frame computed once, as a compressed table in the shared folder, deleted when the application ends.
+    """The frame computed once, as a compressed table in the shared folder.
 
     Later reads prune its columns, and none of it hangs on an executor that may be lost.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,7 +37,8 @@ def csv_summary(df: DataFrame, path: str) -> None:
 def sparse_index(postings: DataFrame, doc_lengths: DataFrame, term_stats: DataFrame, path: str, buckets: int = 64) -> None:
     """The three tables of a BM25 index; postings lie in hash buckets of their term, so that a search reads few of them."""
     bucketed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    bucketed.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    # a frequent term's entries are spread over several files of its bucket
+    bucketed.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     doc_lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
     term_stats.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
 
