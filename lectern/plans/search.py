@@ -358,8 +358,9 @@ hit AS (SELECT *, 'bm25' AS mode FROM k1 WHERE rank <= 10 UNION ALL SELECT *, 'f
 )
 def k04_k06_e09_d09_f05_f06_retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Hit rates and reciprocal ranks of three modes over the same index."""
-    found = _fused_payload(spark, d)
-    lists = {"bm25": payload(spark, d, bm25_hits(spark, d)), "fused": found, "fused_rerank": retrieval.lexical_rerank(found)}
+    sparse = settled(bm25_hits(spark, d))
+    found = settled(payload(spark, d, retrieval.fused([("pairs", pair_hits(spark, d)), ("bm25", sparse)])))
+    lists = {"bm25": payload(spark, d, sparse), "fused": found, "fused_rerank": retrieval.lexical_rerank(found)}
     hits = None
     for mode, hit in lists.items():
         part = retrieval.deduplicated(hit, top=10).withColumn("mode", F.lit(mode))
