@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lectern.session import spread
+
 
 def per_text(
     docs: DataFrame, found: Callable[[str | None, str | None], Iterable[tuple]], id_col: str, text_col: str, title_col: str | None, columns: str
 ) -> DataFrame:
     """For each row the id and each tuple of found(text, title), as rows (id, *columns).  Only these columns are read."""
     title = F.col(title_col) if title_col and title_col in docs.columns else F.lit(None)
-    narrow = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"), title.cast("string").alias("_title"))
+    narrow = spread(docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"), title.cast("string").alias("_title")))
     schema = StructType([narrow.schema[id_col], *StructType.fromDDL(columns).fields])
     arrow = to_arrow_schema(schema)
 

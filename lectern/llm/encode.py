@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -210,7 +212,7 @@ def encode_text(text: str | None, vocabulary: Vocabulary, feed: int = FEED) -> l
 def encoded(docs: DataFrame, vocabulary_path: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of every row, one pass without a shuffle.  The vocabulary (a fixed file) is read once and broadcast."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path))
-    narrow = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"))
+    narrow = spread(docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text")))
     schema = T.StructType([narrow.schema.fields[0], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from lectern.llm import codes
+from lectern.session import spread
 
 #: (k, the least piece) for runs of ideographs and for runs of letters of alphabets, which say less each
 WIDE, NARROW = (8, 20), (16, 40)
@@ -189,7 +190,7 @@ def leaks(
     chosen = items.select(F.col(item_col).alias("_item"), F.col(item_text_col).cast("string").alias("_text")).where(F.length("_text") > 0)
     size = chosen.agg(F.sum(F.length("_text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-size // ITEM_BLOCK))
-    narrow = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") > 0)
+    narrow = spread(docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") > 0))
     schema = StructType(
         [narrow.schema[id_col], StructField(item_col, items.schema[item_col].dataType), *StructType.fromDDL("covered int, longest int, share double").fields]
     )

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import page, residue
+from lectern.session import settled, spread
 
 MOST_RATED = 20_000
 #: A document is demanding from this level on.
@@ -198,8 +199,6 @@ def fit(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_RATED) -> Mo
             types = [pa.float64(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
 
-    from lectern.session import settled
-
     rated = settled(rated_documents(docs, ratings, most_rated).mapInArrow(run, schema))
     by_term = (
         rated.select("grade", F.explode(F.array_distinct("terms")).alias("term"))
@@ -262,7 +261,7 @@ def levels(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     title = F.col(title_col) if title_col and title_col in docs.columns else F.lit(None)
-    narrow = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"), title.cast("string").alias("_title"))
+    narrow = spread(docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"), title.cast("string").alias("_title")))
     numbers = ["flesch", "dale_chall", "graded"]
     schema = T.StructType(
         [narrow.schema.fields[0], T.StructField("grade", T.DoubleType()), T.StructField("level", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in numbers)]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import codes
-from lectern.session import settled
+from lectern.session import settled, spread
 
 LEAST_DOCS, LEAST_SHARE = 5, 0.02
 #: Counters of a summary.  More make fewer false candidates; the result is the same with any number.
@@ -62,7 +62,7 @@ def line_values(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _lines(docs: DataFrame, id_col: str, ref_col: str, text_col: str) -> DataFrame:
     """(id, _ref, numbers, values) of each document with non-null text; the arrays hold its lines with letters."""
-    narrow = docs.select(F.col(id_col).alias(id_col), F.col(ref_col).alias("_ref"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
+    narrow = spread(docs.select(F.col(id_col).alias(id_col), F.col(ref_col).alias("_ref"), F.col(text_col).cast("string").alias("_text")).where("_text is not null"))
     schema = T.StructType(
         [*narrow.schema.fields[:2], T.StructField("numbers", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.LongType()))]
     )
