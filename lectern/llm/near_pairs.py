@@ -35,11 +35,12 @@ CODE_BITS, CODE_UNIT = 20, 4096
 #: Rows (of some 40 bytes) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Politeness, question words and particles that two wordings of one question may differ in.
-FILLERS_ZH = """麻烦问一下 请问一下 请问 想问一下 想问 想了解一下 老师您好 老师好 老师 您好 你好 谢谢您 谢谢 多谢 怎样 如何 怎么 什么样 什么 有哪些
-哪些 哪里 应该 应当 具体 内容 一下 的 是 有 何 要 吗 呢 啊 吧 了 说 看 请 在 中 里 关于""".split()
-FILLERS_EN = """hi hello dear please thanks thank you quick question could can may might would do does did is are was be what which
-how where who i we me one tell us find get way according going by a an the of for in on at to about it its s""".split()
-_ZH = re.compile("|".join(FILLERS_ZH))
+FILLERS_ZH = """麻烦问一下 麻烦告知 麻烦了 麻烦 请问一下 请问 请教一下 请教 求问 劳驾 打扰一下 打扰了 想问一下 想问 想咨询 咨询一下 想了解一下 我想知道 想知道 请告知
+各位老师好 老师您好 老师好 老师 同学们好 大家好 您好 你好 谢谢您 谢谢老师 谢谢 多谢 感谢 辛苦了 有人知道 怎么样 怎样 如何 怎么 什么样 什么 都有哪些 有哪些 哪些 哪里 哪儿 到底 究竟
+应该 应当 具体 内容 一下 的 是 有 何 要 吗 呢 啊 吧 了 呀 说 看 请 在 中 里 关于""".split()
+FILLERS_EN = """hi hello hey dear sorry excuse good morning afternoon evening please kindly thanks thank you cheers quick question could can may might would do does did is
+are was be what which how where who i we me one tell let know us find get way according going by wondering like just a an the of for in on at to about regarding it its s""".split()
+_ZH = re.compile("|".join(sorted(FILLERS_ZH, key=len, reverse=True)))
 _EN = frozenset(FILLERS_EN)
 _NUMBER = re.compile(r"\d+")
 _TOKEN = re.compile(r"\d+|[a-z]+|[㐀-鿿]+")

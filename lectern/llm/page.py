@@ -31,8 +31,9 @@ MENU_WORDS = """首页 网站首页 新闻动态 新闻中心 招生信息 招
 services calendar jobs giving alumni media atozindex stafflogin resources sitemap search library""".split()
 #: Headings of lists of other pages.
 ASIDE_WORDS = """推荐阅读 猜你关注 猜你喜欢 最新通知 最新公告 最新文章 相关链接 相关阅读 相关文章 热门文章 热门推荐 同类信息 延伸阅读
-youmayalsolike relatedpages relatedlinks relatedarticles recommended recommendedforyou latestnotices latestnews mostread
-moreinthissection popularpages seealso""".split()
+大家都在看 最近更新 更多资讯 更多新闻 其他文章 热点推荐 点击排行 阅读排行 推荐文章 猜您喜欢 精彩推荐
+youmayalsolike youmightalsolike relatedpages relatedlinks relatedarticles recommended recommendedforyou latestnotices latestnews mostread
+moreinthissection popularpages popularposts trending recentnews recentposts seealso morenews morelikethis alsointhissection otherpages quicklinks""".split()
 
 _MENU = re.compile("(?:%s)+" % "|".join(sorted(MENU_WORDS, key=len, reverse=True)))
 _MENU_WORD = frozenset(MENU_WORDS)
@@ -40,29 +41,30 @@ _ASIDE = frozenset(ASIDE_WORDS)
 
 #: kind -> patterns that the key must match from its start
 _KEYED = {
-    TRAIL: r"当前位置|您(?:现在)?的位置|您在这里|youarehere",
+    TRAIL: r"当前位置|当前所在|所在位置|您(?:现在|当前)?(?:的|所在)?的?位置|您在这里|youarehere|youarein(?:home|section)|breadcrumb|skipto(?:main)?content$",
     NOTICE: r"(?:统一认证)?登录(?:教职工|学生|访客|注册|帮助)+$|login(?:register|help)+$|signin(?:register|help)+$"
     r"|staffstudents(?:visitors|search|alumni)+$"
     r"|(?:本站|本网站|网站).{0,8}(?:启用|开启|支持)javascript.{0,8}(?:效果|体验|浏览)|thissiteworksbestwith|bestviewed(?:in|with)"
     r"|(?:本站|本网站|我们|网站)(?:会)?使用cookie|.{2,16}网站会(?:保存|使用|存储).{0,6}cookie|为统计访问情况|cookie(?:设置|声明|提示)"
-    r"|essentialcookiesonly|weusecookies|bycontinuingtobrowse|thissiteusescookies|the.{2,60}sitestorescookies|acceptallcookies|cookiesettings$",
-    BYLINE: r"来源.{1,24}(?:编辑|作者|审核)|(?:发布|更新)(?:时间|日期)\d|作者.{1,12}(?:来源|编辑|时间)|编辑.{1,12}审核"
+    r"|(?:我们|网站|本站)(?:会)?(?:收集|记录)匿名|建议使用.{2,20}浏览器|cookie(?:policy|notice|preferences)$|(?:accept|reject|allow)(?:all)?cookies|weandourpartners|thiswebsiteusescookies|oursiteusescookies|essentialcookiesonly|weusecookies|bycontinuingtobrowse|thissiteusescookies|the.{2,60}sitestorescookies|acceptallcookies|cookiesettings$",
+    BYLINE: r"来源.{1,24}(?:编辑|作者|审核)|(?:发布|更新)(?:时间|日期)\d|作者.{1,12}(?:来源|编辑|时间)|编辑.{1,12}审核|责任编辑|(?:撰稿|供稿|摄影|发布人|发布单位|发布者).{1,24}(?:编辑|审核|时间|日期|来源)|(?:最后|最近|上次)(?:更新|修改)(?:时间|于|日期)?\d|您是第\d+位|访问人数\d|今日访问"
     r"|postedby.{2,80}in|publishedby.{2,80}on\d|(?:浏览|阅读|访问|点击)(?:次数|量|数)\d+|阅读\d+次|点击\d+次|views?\d+$"
     r"|\d+(?:people|readers|users|visitors)?(?:have)?(?:read|viewed|visited)this(?:page|article)|readby\d+|\d+人(?:已|次)?(?:阅读|浏览|看过)"
-    r"|lastupdated\d+(?:visits)?|\d+visits$|页面?浏览量",
-    TOOLS: r"分享到|分享本页|分享给|觉得有用.{0,8}(?:转发|分享)|收藏本页|返回顶部$|回到顶部$|打印本页|关闭窗口$|字体大中小|字号大中小"
+    r"|\d+(?:views?|reads?|comments?|clicks|hits)$|readingtime\d|\d+minread$|writtenby.{2,60}(?:on|in)|lastmodified\d|updatedon\d|lastupdated\d+(?:visits)?|\d+visits$|页面?浏览量",
+    TOOLS: r"分享(?:到|至)|一键分享|转发(?:到|至|给)(?:微信|朋友圈|好友|同学|朋友)|复制链接$|扫一扫|扫码关注|关注我们$|放大字体|缩小字体|导出pdf$|下载pdf$|意见反馈$|我要纠错$|分享本页|分享给|觉得有用.{0,8}(?:转发|分享)|收藏本页|返回顶部$|回到顶部$|打印本页|关闭窗口$|字体大中小|字号大中小"
     r"|tellafriendabout|foundthisuseful|sharethis(?:page|site|article)(?:on|with|via|by|mail|email|chat|copy|link|facebook|twitter|wechat)|shareon(?:facebook|twitter|x)"
-    r"|printthispage|closewindow$|textsizea|backtotop$|emailthispage",
+    r"|sharevia|shareto(?:your)?(?:friends|wechat|facebook)|followus(?:on)?|subscribe(?:to|now)?(?:our)?(?:newsletter)?$|fontsize|downloadaspdf$|saveaspdf$|emailthisto|printthispage|printerfriendly|closewindow$|textsizea|backtotop$|emailthispage",
     LEGAL: r"版权所有|本[页站]内容版权|.{0,30}未经许可不得(?:转载|复制)|免责声明|法律声明|隐私(?:政策|声明)|使用本站即视为"
     r"|copyrightofthispage|copyright(?:19|20)\d\d|(?:19|20)\d\d(?:19|20)?\d{0,2}.{2,80}allrightsreserved|disclaimer|useofthissiteimplies"
-    r"|privacy(?:accessibility|policy|notice|sitemap)+$|termsofuse(?:privacy|accessibility)*$",
+    r"|网站地图$|站点地图$|无障碍(?:声明|浏览)$|copyright©?\d|poweredby.{2,30}$|termsandconditions$|accessibilitystatement$|privacy(?:accessibility|policy|notice|sitemap)+$|termsofuse(?:privacy|accessibility)*$",
     FOOTER: r"地址.{2,40}邮编\d|邮编\d{4,}|电话\d{5,}(?:传真\d*)?$|传真\d{5,}$|技术支持.{2,30}备案|.{0,4}icp备|备案号|主办单位.{2,30}承办"
     r"|tel\d{5,}(?:fax\d*)?$|fax\d{5,}$",
 }
 _KEYED_RE = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _KEYED.items()))
 _ADDRESS = re.compile(r"\W*\d{1,5} +[a-z' -]{2,40}\b(?:avenue|street|road|boulevard)\b[^.]{0,40}$", re.I)
 _FIELD = re.compile(r"[{}%$<>«»_]")
-_NEIGHBOUR = re.compile(r"[上下]一[篇条页则]\s*[::]|(?:previous|next)\s*:", re.I)
+_NEIGHBOUR = re.compile(r"[上下]一[篇条页则]\s*[::]|(?:previous|next)(?: (?:page|article|post))?\s*:", re.I)
+_CRUMBS = re.compile(r"\W*(?:首页|主页|home)\s*(?:[>›»→]|-->)\s*\S", re.I)
 
 _STRAY = re.compile(r"<\|[^|<>]{1,30}\|>|</?s>|\[(?:unk|pad|cls|sep|mask)\]", re.I)
 _INVISIBLE = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿￹-�]")
@@ -133,13 +135,20 @@ def _title_at(blocks: list[Block], title_key: str) -> int:
         elif inside and _entry_like(b.line):
             candidates.append(i)
         elif candidates and (len(b.key) > 60 or _HEAD.match(b.line)):
-            # entries run straight into the matter: the title is the entry whose subject the matter takes up again
+            # entries run straight into the matter: the title is the entry whose subject the matter takes up again,
+            # else the last one, unless it has a list's bullet or date
             rest = "".join(c.key for c in blocks[i:])
-            def shared(j):
+
+            def shared(j: int) -> float:
                 k = blocks[j].key
-                return sum(k[p : p + 4] in rest for p in range(len(k) - 3))
+                n = 4 if _CJK.search(k) else 9
+                return sum(k[p : p + n] in rest for p in range(len(k) - n + 1))
+
             best = max(candidates, key=shared)
-            return best if shared(best) >= 3 else -1
+            if shared(best) >= 3:
+                return best
+            last = blocks[candidates[-1]].line.strip()
+            return candidates[-1] if last[:1] not in "·-*•▪»" and not _DATED.search(last) else -1
         else:
             return i
     return -1
@@ -158,6 +167,9 @@ def parse(text: str, title: str | None = None) -> list[Block]:
             if m:
                 b.kind = m.lastgroup
                 continue
+            if len(b.line) < 90 and _CRUMBS.match(b.line):
+                b.kind = TRAIL
+                continue
             if _NEIGHBOUR.match(b.line.lstrip("·-*•▪»> ")):
                 b.kind = ENTRY
                 continue
