@@ -303,3 +303,32 @@ def test_metrics_count_misses(spark):
     found = spark.createDataFrame([("m", "q1", "c9", "d1", 1), ("m", "q1", "c1", "d1", 6), ("m", "q3", "c1", "d1", 1)], "mode string, query_id string, chunk_id string, doc_id string, rank int")
     r = evaluation.retrieval_metrics(found, cases).first()
     assert (r["answerable"], r["doc_hit_at_5"], r["chunk_hit_at_5"], r["chunk_hit_at_10"], r["mrr_at_10"]) == (2, 0.5, 0.0, 0.5, 0.5)
+
+
+# size guards
+
+
+def test_small_tables_only_are_broadcast(spark):
+    df = spark.range(10).withColumnRenamed("id", "k")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(ingest.small(df, 10)) and not hinted(ingest.small(df, 9))
+
+
+def test_few_small_files_are_dealt_out(spark, tmp_path):
+    from lectern.session import settled, spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    df = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(df).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    literal = spark.createDataFrame([(1,)], "id long")
+    assert spread(literal) is literal
+    kept = settled(df.where("id < 5"))
+    assert kept.count() == 5 and "lectern-" in kept.inputFiles()[0]
+
+
+def test_one_hot_hash_is_no_hot_group(spark):
+    """A third of all fetches with one hash: the first is found by partial aggregation, not in one sorted group."""
+    rows = [(f"d{i}", f"u{i}", "hot" if i % 3 == 0 else f"h{i}", f"{i:05d}") for i in range(900)]
+    got = ingest.new_fetches(fetches(spark, rows), fetches(spark, rows[:0]))
+    assert got.count() == 601 and got.where("content_hash = 'hot'").first()["doc_id"] == "d0"
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
