@@ -127,7 +127,7 @@ def same_question(a: str, b: str, most: int = 3) -> bool:
     x, y = content(a), content(b)
     for longer, other in ((x, y), (y, x)):  # a slip may hide a filler
         for word in [w for w in longer if w not in other]:
-            if len(longer) > len(other) and any(len(f) > 2 and _slips(word, f, 1) is not None for f in _EN):
+            if len(longer) > len(other) and any(word == f[::-1] or (len(f) > 2 and _slips(word, f, 1) is not None) for f in _EN):
                 longer.remove(word)
     if len(x) == len(y):
         left = most
