@@ -243,10 +243,10 @@ def test_years_names_and_hashes(spark):
     assert values(df.select(tx.latest_year(F.col("t"), F.col("x")).alias("y")), "y") == [2025, None]
     names = spark.createDataFrame([("a/b 中.txt",), ("中文",)], "n string").select(tx.safe_filename(F.col("n")).alias("f"))
     assert values(names, "f") == ["a_b_.txt", "item"]
-    row = spark.createDataFrame([("南科大",)], "s string").select(hashing.sha256(F.col("s")).alias("h"), hashing.point_id(F.col("s")).alias("p")).first()
+    row = spark.createDataFrame([("图书馆",)], "s string").select(hashing.sha256(F.col("s")).alias("h"), hashing.point_id(F.col("s")).alias("p")).first()
     import hashlib
 
-    want = hashlib.sha256("南科大".encode()).hexdigest()
+    want = hashlib.sha256("图书馆".encode()).hexdigest()
     assert row["h"] == want and int(row["p"]) == int(want[:16], 16)
 
 
