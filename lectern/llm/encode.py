@@ -1,11 +1,18 @@
 """Problem 6: encoding every text with a public byte-pair vocabulary, and decoding it again.
 
-``Transducer`` encodes a stream of text in memory that doesn't grow with it.  Text is cut into pieces by the vocabulary's
-pattern, which never looks more than SIGHT characters ahead, so pieces that end before that are stable and their tokens
-are emitted.  A piece that goes on longer than a block (a long run without any break) is encoded byte by byte: for each
-prefix there is one last token that goes with the encoding before it, and the tokens of the whole come from following
-these back.  Which prefix the end will lead to is open, but it is one of the last L, where L is the longest token of the
-merge list: that lookahead suffices.  Tokens before the place where the ways back from all L prefixes have met are stable.
+``Transducer`` encodes a stream of text in memory that doesn't grow with it.  Every text, short or long, is fed to it in
+steps of FEED characters, and tokens leave it as soon as nothing that follows can change them.  What may follow matters
+in three ways, each with a bounded sight that is known from the vocabulary:
+
+* Text is cut into pieces by the vocabulary's pattern, which never looks more than SIGHT characters behind a piece.
+* Within a piece, a border between two characters that no token of the merge list spans can never be merged over: what
+  is before it and what is after it are encoded apart.  This takes one character of sight.
+* Between such borders, for each prefix there is one last token that goes with the encoding before it, and the tokens of
+  the whole come from following these back.  Which prefix the end will lead to is open, but it is one of the last L, where
+  L is the longest token of the merge list: that lookahead suffices.  Tokens before the place where the ways back from
+  all L prefixes have met are stable.
+
+Stretches between borders recur; a bounded table remembers the tokens of short ones.
 
 ``TextDecoder`` is the inverse: an incremental state machine from bytes to text that holds back an unfinished character.
 
@@ -22,7 +29,6 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,16 +38,28 @@ from lectern.session import spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters fed at a time, and those behind a piece that the pattern may need to see.
-FEED, SIGHT = 1 << 16, 3
+#: Characters fed at a time, those behind a piece that the pattern may need to see, and those of an open piece that wait for its end.
+FEED, SIGHT, OPEN = 2048, 3, 256
+#: Entries of a table of what recurs before it starts anew, and the longest text in it.
+REMEMBERED, SHORT = 1 << 17, 32
 #: How a piece goes on, by what it is made of.
 _ON = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "S": regex.compile(r"[^\s\p{L}\p{N}]*"), "W": regex.compile(r"\s*")}
+_NEVER = 1 << 60
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
+def _char_borders(token: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(what the token holds of the character before, of the one after) for each border of characters inside it."""
+    starts = [i for i, b in enumerate(token) if b & 0xC0 != 0x80]
+    for n, at in enumerate(starts):
+        if at > 0:
+            end = starts[n + 1] if n + 1 < len(starts) else len(token)
+            yield token[starts[n - 1] if n else 0 : at], token[at:end]
+
+
 class Vocabulary:
     """The merge list and what follows from it."""
 
@@ -50,31 +68,109 @@ class Vocabulary:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.lookahead = max(map(len, ranks), default=1)
         self.pieces = regex.compile(pattern)
-        self.core = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.endings = {token[i:] for token in ranks for i in range(len(token))}
+        self.spanned = {border for token in ranks if len(token) > 1 for border in _char_borders(token)}
+        self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self._fits: dict[tuple[bytes, bytes], bool] = {}
+        self._crossed: dict[str, bool] = {}
+        self._ids: dict[str, list[int]] = {}
+
+    def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two tokens whose merge makes this one; None of a single byte."""
+        if token not in self._halves:
+            parts = [token[i : i + 1] for i in range(len(token))]
+            while len(parts) > 2:
+                _, at = min((self.ranks.get(parts[i] + parts[i + 1], _NEVER), i) for i in range(len(parts) - 1))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self._halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self._halves[token]
+
+    def _edge(self, token: bytes, side: int) -> list[bytes]:
+        """The tokens that stand at one edge (0 left, 1 right) of the token while it is merged, from the byte on."""
+        out = [token]
+        while (parts := self.halves(out[-1])) is not None:
+            out.append(parts[side])
+        return out[::-1]
 
     def fits(self, left: bytes, right: bytes) -> bool:
-        """Whether the two tokens may stand side by side: the merges leave the border between them alone."""
+        """Whether two tokens may stand side by side: the merges leave the border between them alone.
+
+        Merged apart, each side shows the border one token after another.  Whatever shows at the same time on both sides
+        must not be merged before one of the two goes into its next; of equal merges the one further left comes first.
+        """
         key = (left, right)
-        if key not in self._pairs:
-            if len(self._pairs) > 200_000:
-                self._pairs.clear()
-            self._pairs[key] = self.merged(left + right) == [left, right]
-        return self._pairs[key]
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """The tokens of a few bytes: always the merge of least rank first, leftmost first."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        known = self._fits.get(key)
+        if known is None:
+            if len(self._fits) > REMEMBERED:
+                self._fits.clear()
+            known = self._fits[key] = self._apart(self._edge(left, 1), self._edge(right, 0))
+        return known
+
+    def _apart(self, a: list[bytes], b: list[bytes]) -> bool:
+        rank = self.ranks.get
+        i = j = 0
+        while True:
+            until_a = rank(a[i + 1]) if i + 1 < len(a) else _NEVER
+            until_b = rank(b[j + 1]) if j + 1 < len(b) else _NEVER
+            over = rank(a[i] + b[j], _NEVER)
+            if over < until_a and over <= until_b and over < _NEVER:
+                return False
+            if until_a == until_b == _NEVER:
+                return True
+            if until_a <= until_b:
+                i += 1
+            else:
+                j += 1
+
+    def crossed(self, pair: str) -> bool:
+        """Whether some token may span the border between two characters."""
+        known = self._crossed.get(pair)
+        if known is None:
+            if len(self._crossed) > REMEMBERED:
+                self._crossed.clear()
+            a, b = pair[0].encode("utf-8"), pair[1].encode("utf-8")
+            known = any((a[i:], b[:j]) in self.spanned for i in range(len(a)) for j in range(1, len(b) + 1))
+            self._crossed[pair] = known
+        return known
+
+    def stretch(self, text: str) -> list[int]:
+        """The tokens of a closed stretch."""
+        ids = self._ids.get(text)
+        if ids is None:
+            run = _Run(self)
+            ids = run.add(text.encode("utf-8")) + run.finish()
+            self._remember(text, ids)
+        return ids
+
+    def _remember(self, text: str, ids: list[int]) -> None:
+        if len(text) <= SHORT:
+            if len(self._ids) > REMEMBERED:
+                self._ids.clear()
+            self._ids[text] = ids
+
+    def piece(self, text: str) -> list[int]:
+        """The tokens of a closed piece."""
+        ids = self._ids.get(text)
+        if ids is not None:
+            return ids
+        ids, start, known, found = [], 0, self._crossed, self._ids
+        for i in range(1, len(text)):
+            pair = text[i - 1 : i + 1]
+            crossed = known.get(pair)
+            if crossed is None:
+                crossed = self.crossed(pair)
+            if not crossed:
+                part = text[start:i]
+                ids += found.get(part) or self.stretch(part)
+                start = i
+        if start == 0:
+            return self.stretch(text)
+        ids += self.stretch(text[start:])
+        return ids
 
 
 class _Run:
-    """The open tokens of one over-long piece."""
+    """The open tokens of one stretch."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.data, self.before = vocabulary, b"", None
@@ -84,19 +180,26 @@ class _Run:
         ids = []
         for start in range(0, len(data), 1024):
             self._extend(data[start : start + 1024])
-            ids += self._stable()
+            if len(self.data) > self.v.lookahead:
+                ids += self._stable()
         return ids
 
     def _extend(self, data: bytes) -> None:
-        ranks, fits, longest = self.v.ranks, self.v.fits, self.v.lookahead
+        ranks, fits, endings = self.v.ranks, self.v.fits, self.v.endings
         first = len(self.data)
         self.data += data
-        for end in range(first + 1, len(self.data) + 1):
-            for n in range(min(longest, end), 0, -1):
-                token = self.data[end - n : end]
-                left = self.last[end - n] if end > n else self.before
-                if token in ranks and (not left or fits(left, token)):
-                    self.last.append(token)
+        data, last = self.data, self.last
+        for end in range(first + 1, len(data) + 1):
+            found, at = [], end - 1
+            while at >= 0 and (token := data[at:end]) in endings:
+                if token in ranks:
+                    found.append(token)
+                at -= 1
+            for token in reversed(found):
+                at = end - len(token)
+                left = last[at] if at else self.before
+                if not left or fits(left, token):
+                    last.append(token)
                     break
             else:
                 raise ValueError("the merge list doesn't cover every byte")
@@ -125,40 +228,61 @@ class _Run:
         return self._emit(len(self.data))
 
 
+class _Piece:
+    """A piece that is still open: its stretches are closed at every border that no token spans."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v, self.run, self.end = vocabulary, None, ""
+
+    def add(self, text: str) -> list[int]:
+        ids, start, end = [], 0, self.end
+        for i, c in enumerate(text):
+            if end and not self.v.crossed(end + c):
+                ids += self._close(text[start:i])
+                start = i
+            end = c
+        if start < len(text):
+            self.run = self.run or _Run(self.v)
+            ids += self.run.add(text[start:].encode("utf-8"))
+        self.end = end
+        return ids
+
+    def _close(self, text: str) -> list[int]:
+        if self.run is None:
+            return self.v.stretch(text)
+        run, self.run = self.run, None
+        return run.add(text.encode("utf-8")) + run.finish()
+
+    def finish(self) -> list[int]:
+        return self.run.finish() if self.run else []
+
+
 class Transducer:
     """feed() text and get the ids that are stable; finish() gives the rest."""
 
-    def __init__(self, vocabulary: Vocabulary, feed: int = FEED):
-        self.v, self.most = vocabulary, feed
-        self.text = ""  # open pieces
-        self.run: _Run | None = None
+    def __init__(self, vocabulary: Vocabulary, most_open: int = OPEN):
+        self.v, self.most_open = vocabulary, max(4, most_open)
+        self.text = ""  # what isn't cut into pieces yet
+        self.open: _Piece | None = None
         self.made_of = ""
 
     def feed(self, text: str) -> list[int]:
-        if self.run is not None:
+        if self.open is not None:
             return self._go_on(text)
         self.text += text
-        if len(self.text) < self.most:
-            return []
-        at, limit, blank = 0, len(self.text) - SIGHT, []
-        for m in self.v.pieces.finditer(self.text):
-            if m.end() > limit:
+        at, limit, ids, known = 0, len(self.text) - SIGHT, [], self.v._ids
+        for piece in self.v.pieces.findall(self.text):
+            if at + len(piece) > limit:
                 break
-            if self.text[m.end() - 1].isspace():  # cut behind it, it would run on to the cut
-                blank.append(m.group())
-            else:
-                at, blank = m.end(), []
-        ids = self.v.core.encode_ordinary(self.text[:at]) if at else []
-        for piece in blank:
-            run = _Run(self.v)
-            ids += run.add(piece.encode("utf-8")) + run.finish()
-        self.text = self.text[at + sum(map(len, blank)) :]
-        if len(self.text) > max(16, self.most // 2):  # one piece, and still open
-            body, self.text, self.run = self.text, "", _Run(self.v)
+            at += len(piece)
+            ids += known.get(piece) or self.v.piece(piece)
+        self.text = self.text[at:]
+        if len(self.text) > self.most_open:  # one piece that goes on, but for its last few characters
+            body, self.text, self.open = self.text, "", _Piece(self.v)
             probe = body[1:2] if body[0] == " " and not body[1].isspace() else body[0]
             self.made_of = "W" if regex.match(r"\s", probe) else "L" if regex.match(r"\p{L}", probe) else "N" if regex.match(r"\p{N}", probe) else "S"
             lead = len(body) - len(body.lstrip(" ")) if self.made_of != "W" else 0
-            ids += self.run.add(body[:lead].encode("utf-8"))
+            ids += self.open.add(body[:lead])
             ids += self._go_on(body[lead:])
         return ids
 
@@ -168,20 +292,21 @@ class Transducer:
         more = text[:end]
         if self.made_of == "W" and more:  # the last white space of a run may belong to what follows
             more, self.text = more[:-1], more[-1]
-        ids = self.run.add(more.encode("utf-8"))
+        ids = self.open.add(more)
         if end < len(text):
-            ids += self.run.finish()
-            self.run = None
+            ids += self.open.finish()
+            self.open = None
             ids += self.feed(text[end:])
         return ids
 
     def finish(self) -> list[int]:
         ids = []
-        if self.run is not None:
-            ids += self.run.add(self.text.encode("utf-8")) + self.run.finish()
-        elif self.text:
-            ids = self.v.core.encode_ordinary(self.text)
-        self.run, self.text = None, ""
+        if self.open is not None:
+            ids += self.open.add(self.text) + self.open.finish()
+        else:
+            for piece in self.v.pieces.findall(self.text):
+                ids += self.v.piece(piece)
+        self.open, self.text = None, ""
         return ids
 
 
@@ -202,7 +327,7 @@ class TextDecoder:
 def encode_text(text: str | None, vocabulary: Vocabulary, feed: int = FEED) -> list[int]:
     if not text:
         return []
-    stream = Transducer(vocabulary, feed)
+    stream = Transducer(vocabulary, min(feed, OPEN))
     ids = []
     for at in range(0, len(text), feed):
         ids += stream.feed(text[at : at + feed])

@@ -5,6 +5,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from lectern.llm import boilerplate, codes, encode, leaks, near_pairs, page, readability, repeated_lines, residue, split
@@ -278,21 +279,58 @@ def vocabulary():
     return encode.Vocabulary(encode.read_ranks(encode.VOCABULARY))
 
 
-def test_stream_equals_whole(vocabulary):
+@pytest.fixture(scope="module")
+def library(vocabulary):
+    return tiktoken.Encoding("given", pat_str=encode.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+
+
+def test_the_library_is_only_the_measure():
+    assert not {"tiktoken", "tokenizers", "sentencepiece"} & {getattr(m, "__name__", "") for m in vars(encode).values()}
+
+
+def test_pairs_of_tokens(vocabulary):
+    def merged(data):
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while len(parts) > 1:
+            rank, at = min((vocabulary.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    rng, tokens = random.Random(4), sorted(vocabulary.ranks, key=vocabulary.ranks.get)
+    for _ in range(5000):
+        a, b = (tokens[rng.randrange(rng.choice([300, 3000, len(tokens)]))] for _ in range(2))
+        b = rng.choice([b, b, a])
+        assert vocabulary.fits(a, b) == (merged(a + b) == [a, b])
+
+
+@pytest.mark.parametrize("length", [0, 1, 2, 3, 255, 256, 257, 2047, 2048, 2049, 2051, 5000])
+def test_every_length_is_fed_in_steps(vocabulary, library, length, monkeypatch):
+    fed = []
+    feed = encode.Transducer.feed
+    monkeypatch.setattr(encode.Transducer, "feed", lambda self, text: fed.append(len(text)) or feed(self, text))
+    for text in ("学校 and the old  schools\n"[i:] * 1000 for i in range(12)):
+        fed.clear()
+        assert encode.encode_text(text[:length], vocabulary) == library.encode_ordinary(text[:length])
+        assert all(n <= encode.FEED for n in fed) and sum(fed) >= length
+
+
+def test_stream_equals_whole(vocabulary, library):
     rng = random.Random(1)
     parts = ["hello", "World", "教学工作部", "don't", "  ", "\n", "\n\n\n", "12345", "=====", "!!", " ", "\t", "Ǻn̈", "😀😀", "aaaaaaa", "'s", "'ll", "'", "é", "　", "\xa0", "<|endoftext|>"]
     for _ in range(1500):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
         feed = rng.choice([8, 16, 33, 64, 100])
         ids = encode.encode_text(text, vocabulary, feed)
-        assert ids == vocabulary.core.encode_ordinary(text)
+        assert ids == library.encode_ordinary(text)
         state = encode.TextDecoder(vocabulary)
         assert "".join(state.feed([i]) for i in ids) + state.finish() == text
 
 
 @pytest.mark.parametrize("text", ["a" * 4000, "abc" * 1500, "尽管阐释学循环" * 400, " " * 3000 + "x", "=" * 3000 + "'s", "1234567890" * 300, " " * 2500, "\n" * 999 + "  b", "étain" * 900])
-def test_runs_without_breaks(vocabulary, text):
-    assert encode.encode_text(text, vocabulary, 128) == vocabulary.core.encode_ordinary(text)
+def test_runs_without_breaks(vocabulary, library, text):
+    assert encode.encode_text(text, vocabulary, 128) == encode.encode_text(text, vocabulary) == library.encode_ordinary(text)
 
 
 def test_a_run_is_encoded_in_bounded_memory(vocabulary):
