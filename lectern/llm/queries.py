@@ -54,12 +54,17 @@ def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = near_pairs.overlaps(table(spark, d, "eval_cases"))
+    found = near_pairs.overlaps(table(spark, d, "eval_cases")).expanded()
     return found.select(F.least("train_id", "held_id").alias("question_id_a"), F.greatest("train_id", "held_id").alias("question_id_b")).distinct()
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    return near_pairs.overlap_counts(near_pairs.overlaps(table(spark, d, "eval_cases")))
+    return near_pairs.overlaps(table(spark, d, "eval_cases")).counts()
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each case with its class and the number of cases of the other side that ask the same."""
+    return near_pairs.overlaps(table(spark, d, "eval_cases")).classes().select("question_id", "split_name", "train", "n_links")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +110,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_wordings, p3_texts, p4_found, p4_kinds, p5_found, p5_counts,
+            p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_wordings, p3_texts, p4_found, p4_kinds, p5_found, p5_counts, p5_classes,
             p6_ids, p6_round_trip, p7_found, p7_items, p7_kept, p8_found, p8_levels,
         )
     }

@@ -213,7 +213,7 @@ def cases(spark, *rows):
 
 
 def found_pairs(df):
-    return sorted((r["train_id"], r["held_id"]) for r in near_pairs.overlaps(df).collect())
+    return sorted((r["train_id"], r["held_id"]) for r in near_pairs.overlaps(df).expanded().collect())
 
 
 def noise(n):
@@ -241,10 +241,13 @@ def test_overlaps_allow_slips_and_greetings_only(spark):
     assert found_pairs(cases(spark, *rows, *noise(150))) == [("e1", "d7"), ("t1", "d1"), ("t1", "d2")]
 
 
-def test_cosine_join_is_exact(spark, monkeypatch):
+@pytest.mark.parametrize("long, most", [(near_pairs.LONG, 10_000), (2, -1)])
+def test_cosine_join_is_exact(spark, monkeypatch, long, most):
+    monkeypatch.setattr(near_pairs, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(near_pairs, "BROADCAST_VECTORS", most)
     rng = random.Random(7)
     words = [f"w{chr(97 + i)}{chr(97 + i % 7)}x" for i in range(26)]
-    texts = sorted({" ".join(sorted(rng.sample(words, rng.randint(2, 6)))) for _ in range(160)})
+    texts = sorted({" ".join([*sorted(rng.sample(words, rng.randint(2, 6))), str(rng.randint(1, 2))]) for _ in range(160)})
     classes = spark.createDataFrame([(i, t, i % 2 == 0, i % 3 != 0) for i, t in enumerate(texts)], "cid long, wording string, train boolean, held boolean").where("train or held")
     listed = {i: set(near_pairs.terms(t)) for i, t in enumerate(texts)}
     listed = {i: t for i, t in listed.items() if i % 2 == 0 or i % 3}
@@ -252,22 +255,50 @@ def test_cosine_join_is_exact(spark, monkeypatch):
     for t in listed.values():
         for x in t:
             df[x] = df.get(x, 0) + 1
-    idf = {x: max(near_pairs.LEAST_WEIGHT, np.log(len(listed) / n) - near_pairs.IDF_FLOOR) for x, n in df.items()}
+    idf = {x: max(near_pairs.LEAST_WEIGHT, np.log(len(listed) / n)) for x, n in df.items()}
     norm = {i: np.sqrt(sum(idf[x] ** 2 for x in t)) for i, t in listed.items()}
     cos = lambda a, b: sum(idf[x] ** 2 for x in listed[a] & listed[b]) / norm[a] / norm[b]
-    for threshold in (0.4, 0.7):
-        want = {(a, b) for a in listed if a % 2 == 0 for b in listed if b % 3 if cos(a, b) >= threshold + 1e-3}
-        maybe = {(a, b) for a in listed if a % 2 == 0 for b in listed if b % 3 if cos(a, b) >= threshold - 1e-3}
-        got = {(r["a"], r["b"]) for r in near_pairs.cosine_pairs(classes, threshold).collect()}
-        assert want <= got <= maybe
+    for threshold in (0.3, 0.6):
+        want = {(a, b): cos(a, b) for a in listed if a % 2 == 0 for b in listed if b % 3 if cos(a, b) >= threshold}
+        got = {(r["a"], r["b"]): r["cosine"] for r in near_pairs.cosine_pairs(classes, threshold, long).collect()}
+        assert len(want) > 20 and want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+
+
+def slipped(rng, text):
+    """Up to two slips of the pen, and politeness."""
+    for _ in range(rng.randint(0, 2)):
+        i = rng.randrange(len(text) - 2)
+        text = rng.choice([text[:i] + text[i + 1] + text[i] + text[i + 2 :], text[:i] + text[i] + text[i:], text[:i] + text[i + 1 :]])
+    return rng.choice(["", "请问", "Hello, "]) + text + rng.choice(["", "？", " ?", "谢谢"])
+
+
+def test_recall_against_brute_force(spark):
+    """Wordings that the threshold wasn't chosen on."""
+    rng = random.Random(11)
+    han, letters = [chr(c) for c in range(0x5100, 0x5180)], "bcdfglmnprstaeiou"
+    rows, made = [], []
+    for i in range(500):
+        name, other = "".join(rng.choice(han) for _ in range(rng.randint(4, 6))), "".join(rng.choice(letters) for _ in range(9))
+        aspect, kind = rng.choice(["退费标准", "报名时间", "申请材料", "住宿安排", "奖励办法"]), rng.choice(["中心", "体育馆", "合唱团"])
+        frames = [f"{name}{kind}{rng.randint(2015, 2025)}年{aspect}有何变动", f"When does the {other} office open in {rng.randint(2019, 2022)}, and who may register there", f"新生加入{name}{kind}之前需要知道的{aspect}"]
+        made.append(rng.choice(frames))
+        rows.append((f"t{i}", made[-1], "train"))
+    rows += [(f"d{i}", slipped(rng, rng.choice(made)), rng.choice(["dev", "test"])) for i in range(400)]
+    folds = {i: near_pairs.folded(t) for i, t, _ in rows}
+    want = {(a, b) for a, _, s in rows if s == "train" for b, _, u in rows if u != "train" if near_pairs.same_question(folds[a], folds[b])}
+    got = set(found_pairs(cases(spark, *rows)))
+    assert len(want) > 250 and got <= want and len(got) >= 0.99 * len(want)
 
 
 def test_overlaps_of_copies_and_of_nothing(spark):
     same = [(f"t{i}", "same question again", "train") for i in range(3)] + [(f"d{i}", "Same question, again?", "dev") for i in range(2)]
-    df = cases(spark, *same)
-    assert len(found_pairs(df)) == 6
-    counts = near_pairs.overlap_counts(near_pairs.overlaps(df)).collect()
-    assert [(r["split_name"], r["source_id"], r["n_pairs"], r["n_held"]) for r in counts] == [("dev", "src", 6, 2)]
+    df = cases(spark, *same, ("t0", "another wording altogether", "train"), ("d7", "another wording, altogether", "test"), ("d8", "something else", "dev"))
+    found = near_pairs.overlaps(df)
+    pairs = [(r["train_id"], r["held_id"]) for r in found.expanded(long=1).collect()]
+    assert sorted(pairs) == sorted([(f"t{i}", f"d{j}") for i in range(3) for j in range(2)] + [("t0", "d7")])
+    assert sorted((r["split_name"], r["source_id"], r["n_pairs"], r["n_held"]) for r in found.counts().collect()) == [("dev", "src", 6, 2), ("test", "src", 1, 1)]
+    links = sorted((r["question_id"], r["n_links"]) for r in found.classes().collect())
+    assert links == [("d0", 3), ("d1", 3), ("d7", 1), ("d8", 0), ("t0", 1), ("t0", 2), ("t1", 2), ("t2", 2)]
     assert found_pairs(df.limit(0)) == [] and found_pairs(df.where("split_name = 'train'")) == []
 
 
