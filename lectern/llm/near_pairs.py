@@ -25,6 +25,7 @@ import re
 import unicodedata
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ THRESHOLD = 0.55
 LEAST_WEIGHT = 0.1
 #: Rows (of some 40 bytes) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Vectors (of some 3 KB) of one side that may be broadcast.
+#: Vectors (of some 2 KB) of one side that may be broadcast.
 BROADCAST_VECTORS = 20_000
 #: Entries of a list, or copies of a wording, that one task joins; longer ones are split over several.
 LONG = 4096
@@ -234,9 +235,6 @@ def _vectors(classes: DataFrame) -> DataFrame:
     )
 
 
-_PLACE = "struct<df:bigint,term:bigint,w:double,rest:double,after:double,most:double>"
-
-
 def _heads(vectors: DataFrame, side: str, threshold: float) -> DataFrame:
     """(cid, term, w, rest, after) of the terms that one side enters in the inverted lists.
 
@@ -244,21 +242,50 @@ def _heads(vectors: DataFrame, side: str, threshold: float) -> DataFrame:
     is the norm of those behind the place), and the sum of their weights times the other side's greatest weight of each.
     Places where the lesser is under the threshold make the tail, which stays out.
     """
-    kind = f"struct<sq:double,mw:double,out:array<{_PLACE}>>"
-    start = F.struct(F.lit(0.0).alias("sq"), F.lit(0.0).alias("mw"), F.array().alias("out")).cast(kind)
+    import pyarrow as pa
 
-    def step(acc, t):
-        sq, mw = acc["sq"] + t["w"] * t["w"], acc["mw"] + t["w"] * t["other"]
-        place = F.struct(t["df"].alias("df"), t["term"].alias("term"), t["w"].alias("w"), F.sqrt(sq).alias("rest"), F.sqrt(acc["sq"]).alias("after"), mw.alias("most"))
-        return F.struct(sq.alias("sq"), mw.alias("mw"), F.concat(acc["out"], F.array(place)).alias("out")).cast(kind)
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            offsets = lists.offsets.to_numpy()
+            size = np.diff(offsets)
+            flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+            w, other = (flat.field(n).to_numpy() for n in ("w", "other"))
+            end = np.repeat(offsets[1:] - offsets[0], size)
 
-    places = F.aggregate(F.reverse("terms"), start, step, lambda acc: acc["out"])
-    return (
-        vectors.where(side)
-        .select("cid", F.explode(places).alias("p"))
-        .where((F.col("p.rest") >= threshold - 1e-9) & (F.col("p.most") >= threshold - 1e-9))
-        .select("cid", "p.term", "p.w", "p.rest", "p.after")
-    )
+            def behind(x):  # the sum from each place to the end of its vector
+                upto = np.concatenate(([0.0], np.cumsum(x)))
+                return upto[end] - upto[:-1]
+
+            sq = behind(w * w)
+            keep = (sq >= (threshold - 1e-9) ** 2) & (behind(w * other) >= threshold - 1e-9)
+            place = pa.array(np.flatnonzero(keep))
+            after = np.sqrt(np.maximum(sq - w * w, 0.0))
+            columns = [b.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)[keep])), flat.field("term").take(place)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x[keep]) for x in (w, np.sqrt(sq), after))], names=["cid", "term", "w", "rest", "after"])
+
+    return vectors.where(side).select("cid", "terms").mapInArrow(run, "cid long, term long, w double, rest double, after double")
+
+
+def _dots(pairs: DataFrame) -> DataFrame:
+    """(a, b, cosine) of pairs with the terms and weights of both: (a, b, ta, wa, tb, wb)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            sides = []
+            for c in (2, 3, 4, 5):
+                lists = batch.column(c)
+                sides.append((lists.offsets.to_numpy(), lists.values.to_numpy()))
+            (oa, ta), (_, wa), (ob, tb), (_, wb) = sides
+            out = np.zeros(batch.num_rows)
+            for i in range(batch.num_rows):
+                a, b = slice(oa[i], oa[i + 1]), slice(ob[i], ob[i + 1])
+                _, x, y = np.intersect1d(ta[a], tb[b], assume_unique=True, return_indices=True)
+                out[i] = wa[a][x] @ wb[b][y]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "cosine"])
+
+    return pairs.select("a", "b", "ta", "wa", "tb", "wb").mapInArrow(run, "a long, b long, cosine double")
 
 
 def _split_lists(left: DataFrame, right: DataFrame, long: int) -> tuple[DataFrame, DataFrame]:
@@ -283,11 +310,9 @@ def cosine_pairs(classes: DataFrame, threshold: float = THRESHOLD, long: int = L
     # common terms that aren't in the sum lie behind the last one that is
     reach = F.sum(F.col("wa") * F.col("wb")) + F.min(F.col("na") * F.col("nb"))
     pairs = met.groupBy("a", "b").agg(reach.alias("reach")).where(F.col("reach") >= threshold - 1e-9).select("a", "b")
-    weights = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["w"].alias("w")))
-    va = vectors.where("train").select(F.col("cid").alias("a"), weights.alias("xa"))
-    vb = _sized(vectors.where("held").select(F.col("cid").alias("b"), F.map_from_entries(weights).alias("xb")), BROADCAST_VECTORS)
-    cosine = F.aggregate("xa", F.lit(0.0), lambda acc, t: acc + t["w"] * F.coalesce(F.try_element_at("xb", t["term"]), F.lit(0.0)))
-    return pairs.join(va, "a").join(vb, "b").select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
+    va = vectors.where("train").select(F.col("cid").alias("a"), F.col("terms.term").alias("ta"), F.col("terms.w").alias("wa"))
+    vb = _sized(vectors.where("held").select(F.col("cid").alias("b"), F.col("terms.term").alias("tb"), F.col("terms.w").alias("wb")), BROADCAST_VECTORS)
+    return _dots(pairs.join(va, "a").join(vb, "b")).where(F.col("cosine") >= threshold - 1e-9)
 
 
 class Overlaps:
