@@ -1,7 +1,14 @@
 """Problem 4: template residue, filler, error pages and script notices that stand where the matter should be.
 
-Unfilled placeholders are found with one small grammar for each kind of delimiter.  A placeholder in quotation marks,
-in code or after words such as "for example" belongs to a page *about* templates and doesn't count.  Filler is known by
+Unfilled placeholders are found with one small grammar for each kind of delimiter.  Pages *about* templates and errors
+hold them too, so three surroundings discount what they hold:
+
+* code blocks (fences, <pre> and <code>, blocks set in behind a colon), if the page has prose of its own around them,
+* lines that a teaching line introduces ("the template looks like this:"), and what stands in quotation marks, between
+  backticks or after words such as "for example",
+* teaching prose that names few fields in many words (density).
+
+Discounted lines count as matter.  Filler is known by
 its vocabulary or by saying the same thing over and over; error and script notices by their wording, in lines that hold
 nothing else.  A page is a case when such lines make up at least ``share`` of its matter, that is of the text without
 furniture and title: one open detail in a real page, or a script notice in its margin, stays far below.
@@ -36,6 +43,17 @@ _QUOTED = re.compile(
     re.I,
 )
 
+#: Words of lines that teach: how templates, programs and their messages look.
+TEACHING = """placeholder placeholders template templates variable variables syntax tutorial example examples instance snippet replaced replaces substituted rendered renders
+code log logs trace traceback console output configuration troubleshooting merge 占位符 模板 模版 变量 语法 示例 举例 例子 教程 替换 代码 日志 报错 配置 渲染 控制台 输出 排查""".split()
+_TEACHING = re.compile("|".join(rf"\b{w}\b" if w.isascii() else w for w in TEACHING), re.I)
+_FENCE = re.compile(r"\s*(?:```|~~~)")
+_OPEN, _CLOSE = re.compile(r"<(?:pre|code)\b[^>]*>", re.I), re.compile(r"</(?:pre|code)>", re.I)
+_SET_IN = re.compile(r"(?: {4,}|\t+)\S")
+_INTRODUCES = re.compile(r"[:：]\s*$")
+#: Letters of prose for each of code that a page must have for its code blocks to be discounted, and of words for each of a field.
+PROSE, WORDS = 0.2, 3
+
 FILLER_WORDS = """lorem ipsum dolor sit amet consectetur adipiscing elit turpis porta cordis orna ornare sagitta sagittis ligula
 viverra quisque parum domus nullam fringa fringilla tempor augue mattis vestra vestibulum ferme asdf qwer qwerty foo bar baz
 dummy test aaa bbb xxx text sample demo 123 1234 abc""".split()
@@ -90,31 +108,71 @@ def _filler(line: str) -> bool:
     return len(line) <= 2000 and sum(len(m.group(0)) for m in _LOOPED.finditer(line)) >= 0.5 * len(line)
 
 
+def _teaches(line: str) -> bool:
+    """Whether the line is prose about fields rather than a line whose fields are open: it says so, in many more words."""
+    bare = _PLACEHOLDER.sub(" ", line)
+    return bool(_TEACHING.search(bare)) and len(page.key_of(bare)) >= WORDS * (len(page.key_of(line)) - len(page.key_of(bare)))
+
+
 def kind_of(line: str) -> str | None:
     """placeholder, filler, notice or None: what a folded line of the matter is a remnant of."""
     line = line.strip()
-    if not _MARKS.isdisjoint(line) and _PLACEHOLDER.search(line) and _PLACEHOLDER.search(_QUOTED.sub(" ", line)):
+    if not _MARKS.isdisjoint(line) and _PLACEHOLDER.search(line) and _PLACEHOLDER.search(_QUOTED.sub(" ", line)) and not _teaches(line):
         return "placeholder"
     if len(line) <= NOTICE_CHARS and _NOTICES.search(line) and _NOTICES.search(_QUOTES.sub(" ", line)):
         return "notice"
     return "filler" if _filler(line) else None
 
 
+def _code(blocks: list[page.Block]) -> list[bool]:
+    """Which lines stand in a code block: between fences or tags (to the end where none closes), or set in behind a colon."""
+    out, inside, set_in, before = [], "", False, ""
+    for b in blocks:
+        line = b.line
+        if inside:
+            out.append(True)
+            if _FENCE.match(line) if inside == "fence" else _CLOSE.search(line):
+                inside = ""
+            continue
+        opened = _OPEN.search(line)
+        if _FENCE.match(line):
+            inside = "fence"
+        elif opened and not _CLOSE.search(line, opened.end()):
+            inside = "tag"
+        set_in = bool(_SET_IN.match(line)) and (set_in or bool(_INTRODUCES.search(before)))
+        out.append(bool(inside or opened or set_in))
+        if line.strip():
+            before = line
+    return out
+
+
 def verdict(blocks: list[page.Block]) -> tuple[float, str | None]:
     """The share of the matter that is residue, and its prevailing kind.
 
     Shares are of letters and digits.  Of placeholders the share of the lines counts where that is more: a form letter
     whose facts are open stays one, however long the sentences between its fields are.
     """
+    code = _code(blocks)
+    rows = [(b, code[i], kind_of(b.line)) for i, b in enumerate(blocks) if b.kind not in page.FURNITURE or code[i]]
+    if not any(kind for _, _, kind in rows):
+        return 0.0, None
+    prose = sum(len(b.key) for b, in_code, kind in rows if not in_code and kind is None and b.kind not in (page.TITLE, page.HEADING, page.BLANK))
+    explained = prose >= PROSE * sum(len(b.key) for b, in_code, _ in rows if in_code)
     total = found = lines = fields = 0
     by: dict[str, int] = {}
-    for b in blocks:
-        if b.kind in page.FURNITURE or b.kind == page.BLANK:
+    introduced = False
+    for b, in_code, kind in rows:
+        if b.kind == page.BLANK:
             continue
-        kind, n = kind_of(b.line), len(b.key)
+        if kind is None:
+            introduced = bool(_INTRODUCES.search(b.line) and _TEACHING.search(b.line))
+        discounted = (in_code and explained) or (kind is not None and introduced)
+        if kind is not None and discounted:
+            kind = None
+        n = len(b.key)
         if kind is None and b.kind == page.TITLE:
             continue
-        if kind is None and b.kind == page.HEADING:
+        if kind is None and b.kind == page.HEADING and not discounted:
             n = min(n, 4)
         else:
             lines += 1

@@ -197,6 +197,59 @@ def test_residue(text, kind):
     assert (found if share >= residue.SHARE else None) == kind
 
 
+FENCED = """Writing letters with the mail tool
+
+Each letter starts from a template that the office keeps. Fields in double braces are filled in from the list of recipients.
+
+```
+Dear {{ first_name }},
+{{ course }} starts on {{ date }}.
+Room: {{ room }}
+{{ signature }}
+```
+
+Save the file and send yourself a copy before the letters go out."""
+LOGGED = """When the portal does not open
+
+If the portal stays blank, look into the log of the proxy first. A full disk shows up like this:
+
+~~~
+HTTP 502 Bad Gateway
+java.io.IOException: no space left
+at org.proxy.Writer.write(Writer.java:88)
+Please try again later.
+~~~
+
+Delete the old logs and start the proxy again, then tell the help desk what you found."""
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        FENCED,
+        LOGGED,
+        LOGGED.replace("~~~\n", "<pre>\n", 1).replace("~~~", "</pre>"),
+        FENCED.replace("```\n", "", 1).replace("\n```", "").replace("recipients.\n", "recipients:\n").replace("\nDear", "\n    Dear").replace("\n{{", "\n    {{").replace("\nRoom", "\n    Room"),
+        "模板的写法\n通知模板由办公室维护，发送时系统会按收件人名单逐一替换其中的变量。\n示例如下：\n尊敬的{{name}}：\n{{course}}将于{{date}}开课。\n发送前请先给自己寄一份，确认无误后再群发。",
+        "The variable {{ first_name }} holds the name of the recipient as it stands in the list of the office.\nThe template tag {{ date }} becomes the day on which the course of the recipient starts.",
+    ],
+)
+def test_code_and_tutorials_are_no_residue(text):
+    assert residue.residue_share(text)[0] < residue.SHARE
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "```\n{{ title }}\n{{ body }}\n```",
+        "Notice\nDear {{ first_name }},\n{{ course }} starts on {{ date }}.\nRoom: {{ room }}\n{{ signature }}",
+        "<pre>\nHTTP 502 Bad Gateway\nPlease try again later.\n</pre>",
+    ],
+)
+def test_residue_in_code_without_prose_stays_residue(text):
+    assert residue.residue_share(text)[0] >= residue.SHARE
+
+
 def test_residue_operator(spark):
     df = docs(spark, (1, "404 页面不存在"), (2, None), (3, "正文说了很多事情，也说得清楚。"), (4, "页面建设中", None), (4, "页面建设中", None))
     assert pairs(residue.residues(df), "doc_id", "residue") == [(1, "notice"), (4, "notice"), (4, "notice")]
