@@ -4,12 +4,14 @@
 ``<li>`` an open ``<li>`` of the same list, a ``<td>`` an open cell, and so on), stray end tags are ignored and void
 elements never stay open, so any byte soup gives a tree.  ``render`` emits the visible text only: invisible elements
 (scripts, styles, ``hidden``, ``display:none``) vanish, block elements are set apart by line breaks, list items get
-their bullet or number, and the cells of a table are padded to common column widths.
+their bullet or number, and the cells of a table are padded to common column widths.  Nothing recurses on the tree, so
+markup of any depth is fine.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,24 +42,30 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
     def walk(self):
-        yield self
-        for c in self.children:
-            if isinstance(c, Node):
-                yield from c.walk()
+        """The node and all below it, in document order."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
     def text(self) -> str:
-        return _SPACE.sub(" ", "".join(_strings(self))).strip()
+        return _SPACE.sub(" ", "".join(strings(self))).strip()
 
 
-def _strings(node: Node):
-    for c in node.children:
-        if isinstance(c, str):
-            yield c
-        else:
-            apart = " " if c.tag in BLOCK or c.tag == "br" else ""
-            yield apart
-            yield from _strings(c)
-            yield apart
+def strings(node: Node):
+    """The strings below a node, with a space on both sides of what is set apart."""
+    stack = list(reversed(node.children))
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            yield item
+            continue
+        apart = item.tag in BLOCK or item.tag == "br"
+        if apart:
+            yield " "
+            stack.append(" ")
+        stack.extend(reversed(item.children))
 
 
 class _Builder(HTMLParser):
@@ -65,14 +73,19 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.stack = [self.root]
+        self.open = Counter()  # tags on the stack, so that a stray end tag needs no search
+
+    def _end(self, depth: int) -> None:
+        self.open.subtract(n.tag for n in self.stack[depth:])
+        del self.stack[depth:]
 
     def handle_starttag(self, tag, attrs):
         ends, scope = IMPLIED.get(tag, (frozenset(), frozenset()))
         if tag in BLOCK and tag not in IMPLIED:
             ends, scope = {"p"}, {"td", "th", "li", "div", "article", "section", "main", "body"}
-        for depth in range(len(self.stack) - 1, 0, -1):
+        for depth in range(len(self.stack) - 1, 0, -1) if any(self.open[t] > 0 for t in ends) else ():
             if self.stack[depth].tag in ends:
-                del self.stack[depth:]
+                self._end(depth)
                 break
             if self.stack[depth].tag in scope:
                 break
@@ -80,11 +93,12 @@ class _Builder(HTMLParser):
         self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.stack) - 1, 0, -1):
+        for depth in range(len(self.stack) - 1, 0, -1) if self.open[tag] > 0 else ():
             if self.stack[depth].tag == tag:
-                del self.stack[depth:]
+                self._end(depth)
                 return
 
     def handle_data(self, data):
@@ -112,8 +126,26 @@ def visible(node: Node) -> bool:
     )
 
 
-def render(node: Node, skip: frozenset = frozenset()) -> list[str]:
-    """The visible lines below ``node``; elements named in ``skip`` are left out whole."""
+def _aligned(table: Node, skip: frozenset) -> list[str]:
+    """The rows of a table, its cells padded to common widths; a table inside a cell is running text there."""
+    rows, stack = [], list(reversed(table.children))
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str) or node.tag == "table":
+            continue
+        if node.tag == "tr":
+            rows.append([" ".join(render(c, skip, tables=False)) for c in node.children if isinstance(c, Node) and c.tag in ("td", "th")])
+        else:
+            stack.extend(reversed(node.children))
+    widths = [max((len(r[i]) for r in rows if len(r) > i), default=0) for i in range(max(map(len, rows), default=0))]
+    return [" | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows if any(r)]
+
+
+def render(node: Node, skip: frozenset = frozenset(), tables: bool = True, code: bool = False) -> list[str]:
+    """The visible lines below ``node``; elements named in ``skip`` are left out whole.
+
+    With ``code`` preformatted blocks keep their lines between fences, and code in a line stands between backticks.
+    """
     lines, buf = [], []
 
     def flush():
@@ -122,38 +154,41 @@ def render(node: Node, skip: frozenset = frozenset()) -> list[str]:
         if line:
             lines.append(line)
 
-    def table(t: Node):
-        rows = []
-        for r in t.walk():
-            if r.tag == "tr":
-                rows.append([" ".join(render(c, skip)) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")])
-        widths = [max((len(r[i]) for r in rows if len(r) > i), default=0) for i in range(max(map(len, rows), default=0))]
-        lines.extend(" | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows if any(r))
-
-    def visit(n: Node, mark: str):
-        if n.tag in skip or not visible(n):
-            return
-        if n.tag == "br":
-            return flush()
-        if n.tag == "table":
+    stack: list = [(node, "- ")]
+    while stack:
+        item, mark = stack.pop()
+        if item is None:  # the end of a block
             flush()
-            return table(n)
-        block = n.tag in BLOCK
-        if block:
+            continue
+        if isinstance(item, str):
+            buf.append(item)
+            continue
+        if item.tag in skip or not visible(item):
+            continue
+        if item.tag == "br":
             flush()
-        if n.tag == "li":
+            continue
+        if item.tag == "table" and tables:
+            flush()
+            lines.extend(_aligned(item, skip))
+            continue
+        if item.tag == "pre" and code:
+            flush()
+            lines += ["```", *"".join(strings(item)).strip("\n").split("\n"), "```"]
+            continue
+        if item.tag in BLOCK:
+            flush()
+            stack.append((None, ""))
+        elif item.tag == "code" and code:
+            buf.append("`")
+            stack.append(("`", ""))
+        if item.tag == "li":
             buf.append(mark)
-        number = 0
-        for c in n.children:
-            if isinstance(c, str):
-                buf.append(c)
-                continue
-            if c.tag == "li":
+        inner, number = [], 0
+        for c in item.children:
+            if not isinstance(c, str) and c.tag == "li":
                 number += 1
-            visit(c, f"{number}. " if n.tag == "ol" else "- ")
-        if block:
-            flush()
-
-    visit(node, "- ")
+            inner.append((c, f"{number}. " if item.tag == "ol" else "- "))
+        stack.extend(reversed(inner))
     flush()
     return lines

@@ -13,22 +13,29 @@ class Lexicon:
     comparison_split: str = "和|与|跟|、"
     precise_pairs: tuple = (("学分", "最低"), ("开放", "时间"), ("心理咨询", "预约"), ("电话", "多少"), ("邮箱", "什么"))
     bonus_keys: tuple = ("开放", "时间", "招生", "章程", "专业", "学分", "申请", "办理")
-    #: (words of which all must stand in the question, patterns tried on the text in this order)
+    #: (sets of words, of one of which all must stand in the question; patterns tried on the text in this order)
     priority_patterns: tuple = (
         (
-            ("学分",),
+            (("学分",),),
             (
                 r"[^。；;]*最低学分要求[^。；;]*?为\s*\d+\s*学分[^。；;]*[。；;]?",
                 r"[^。；;]*毕业最低学分要求[^。；;]*?\d+\s*学分[^。；;]*[。；;]?",
             ),
         ),
         (
-            ("开放", "时间"),
+            (("开放", "时间"),),
             (
                 r"[^。；;]*周一至周日[^。；;]*?\d{1,2}[:：.]\d{2}\s*[-—至]\s*\d{1,2}[:：.]\d{2}[^。；;]*[。；;]?",
                 r"[^。；;]*24小时开放[^。；;]*[。；;]?",
             ),
         ),
+        (
+            (("心理咨询",), ("预约",)),
+            (
+                r"[^。；;]*邮箱预约[^。；;]*?counseling@sustc\.edu\.cn[^。；;]*[。；;]?",
+                r"[^。；;]*电话预约[^。；;]*?88010576[^。；;]*[。；;]?",
+            ),
+        ),
     )
     stop_terms: tuple = tuple(
         "南方科技大学 南科大 什么 哪些 有关 相关 根据 官方 资料 怎么 是否 多少 要点 内容 南方 科技 大学 提供 服务 预约 开放 时间 几点 "
@@ -80,7 +87,15 @@ class Lexicon:
     answer_foot: str = "以上为证据摘录式回答。"
     refusal: str = "当前知识库没有检索到足够直接证据，无法根据现有官方资料回答该问题。"
     refusal_mark: str = "无法根据"
-    no_retrieval: str = "No-RAG baseline skipped retrieval. Enable use_llm after vLLM is running."
+    no_retrieval: str = "Answered without retrieval: no evidence was looked up."
+    unanswerable_questions: tuple = (
+        "南方科技大学火星校区食堂几点开放？",
+        "南方科技大学是否提供量子传送门预约服务？",
+        "2029级所有专业的培养方案最低毕业学分是多少？",
+        "南方科技大学校内私人银行贷款利率是多少？",
+        "南方科技大学尚未公开的下学期考试答案在哪里下载？",
+    )
+    unanswerable_answer: str = "当前公开官方资料不足，系统应拒答。"
 
 
 CAMPUS = Lexicon()

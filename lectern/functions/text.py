@@ -5,6 +5,9 @@ Everything here stays in the JVM.  White space is Unicode white space ((?U) in p
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,9 +137,10 @@ def cut(c: Column, limit: int) -> Column:
 def priority_snippet(question: Column, squeezed: Column, lexicon: Lexicon = CAMPUS, limit: int = 220) -> Column:
     """Sentences the question's words give priority to, joined and cut; '' without one."""
     found = []
-    for words, patterns in lexicon.priority_patterns:
+    for alternatives, patterns in lexicon.priority_patterns:
+        asked = reduce(or_, [holds_all(question, words) for words in alternatives])
         for p in patterns:
-            found.append(F.when(holds_all(question, words), F.nullif(strip(F.regexp_extract(squeezed, "(?U)" + p, 0)), F.lit(""))))
+            found.append(F.when(asked, F.nullif(strip(F.regexp_extract(squeezed, "(?U)" + p, 0)), F.lit(""))))
     return cut(F.array_join(F.array_distinct(F.array_compact(F.array(*found))), " "), limit)
 
 

@@ -11,11 +11,6 @@ from lectern.functions import text as tx
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def once(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """One row of each chunk: repeated deliveries are copies."""
-    return chunks.dropDuplicates([key])
-
-
 def tokens_of(chunks: DataFrame, text_col: str = "embedding_text", tokens: Column | None = None) -> DataFrame:
     """(chunk_id, tokens); a null text has no tokens."""
     c = F.coalesce(F.col(text_col), F.lit(""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import text as tx
 from lectern.functions import urls
@@ -18,10 +19,28 @@ LEAST_CHARS, LEAST_API_CHARS, LOGIN_REACH = 100, 80, 1200
 
 
 def small(df: DataFrame, most: int = REGISTRY_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it is known to have at most ``most`` rows, else as it is."""
+    """The frame with a broadcast hint if it is known to have at most ``most`` rows, else as it is.
+
+    It runs once to be counted; what is dear to compute is settled before.
+    """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def parted(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key stands once, and those whose key repeats (null is a key).  Keys are counted without the other columns."""
+    repeated = small(settled(rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")))
+    same = rows[key].eqNullSafe(repeated["_key"])
+    return rows.join(repeated, same, "left_anti"), rows.join(repeated, same, "left_semi")
+
+
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each key (null is a key).  Of several versions one is chosen by a hash of all columns; only such rows are shuffled."""
+    single, several = parted(rows, key)
+    plain = [F.map_entries(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in rows.schema.fields]
+    best = several.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.xxhash64(*plain)).alias("_row")).select("_row.*")
+    return single.unionByName(best)
+
+
 def with_registry(fetches: DataFrame, sources: DataFrame) -> DataFrame:
     """Fetches with name, category and authority of their source; 'unknown' and 50 where it isn't registered."""
     known = small(sources.select("source_id", "name", F.col("category").alias("_category"), F.col("authority_level").alias("_level")))

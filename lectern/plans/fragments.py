@@ -100,9 +100,10 @@ def sentences(x: str) -> str:
 
 def priority_snippet(q: str, x: str) -> str:
     found = []
-    for words, patterns in CAMPUS.priority_patterns:
+    for alternatives, patterns in CAMPUS.priority_patterns:
+        asked = " OR ".join(all_held(q, words) for words in alternatives)
         for p in patterns:
-            found.append(f"CASE WHEN {all_held(q, words)} THEN nullif({strip(f'regexp_extract({x}, {pattern(p)})')}, '') END")
+            found.append(f"CASE WHEN {asked} THEN nullif({strip(f'regexp_extract({x}, {pattern(p)})')}, '') END")
     kept = f"list_filter([{', '.join(found)}], lambda s: s IS NOT NULL)"
     return cut(f"array_to_string({distinct_in_order(kept)}, ' ')", 220)
 

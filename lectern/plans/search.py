@@ -17,7 +17,8 @@ from lectern.operators.ingest import small
 from lectern.plans import fragments as q
 from lectern.plans.registry import query
 from lectern.plans.tables import TEXT, chunk_hits
-from lectern.session import scratch, settled, table
+from lectern.session import scratch, settled, table, texts
+from lectern.sources import readers, writers
 from lectern.streaming import fetches
 
 EMPTY = "array<string>"
@@ -92,14 +93,14 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section,
 @query(f"WITH {_SECTIONS} SELECT doc_id, coalesce(heading, '') AS heading, page, md5(body) AS digest FROM paged WHERE body <> ''")
 def f07_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of every document: windows as long as the whole text."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d, "documents").select("doc_id", "text")
     whole = chunking.pieces(docs, most=1 << 30, overlap=0)
     return whole.select("doc_id", F.coalesce("heading", F.lit("")).alias("heading"), "page", F.md5("piece").alias("digest"))
 
 
 @query(f"{_CHUNKED} SELECT doc_id, chunk_index, md5(piece) AS digest FROM numbered")
 def f08_f09_windows(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d, "documents").select("doc_id", "text")
     return chunking.pieces(docs).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("piece").alias("digest"))
 
 
@@ -112,7 +113,7 @@ _EMBEDDED = "'文档：' || coalesce(d.title, 'None') || chr(10) || '适用年
 FROM numbered n JOIN documents d USING (doc_id)"""
 )
 def k02_c21_e13_chunks(spark: SparkSession, d: str) -> DataFrame:
-    made = chunking.chunks(table(spark, d, "documents"))
+    made = chunking.chunks(texts(spark, d, "documents"))
     return made.select("chunk_id", F.col("token_count").cast("long").alias("token_count"), "hash", F.md5("embedding_text").alias("embedded"), "metadata.category")
 
 
@@ -409,19 +410,69 @@ def k08_gate_ablation(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(
+    f"""{_CONTEXT}, {_GATE}, {_SCORED.format(refused="g.status = 'insufficient_evidence' ")}, none AS (SELECT * REPLACE (NOT answerable AS correct, true AS refused) FROM scored)
+SELECT 'hybrid_rerank' AS mode, {_RATES} FROM scored UNION ALL SELECT 'no_rag', {_RATES} FROM none"""
+)
+def k09_generation_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Answer metrics with and without retrieval."""
+    with_hits = answering.answers(hit_lists(spark, d)).select("query_id", "answer", "evidence_status", "citations", "retrieval_mode")
+    cases = asked(spark, d)
+    without = answering.without_retrieval(cases).withColumn("citations", F.array().cast(with_hits.schema["citations"].dataType))
+    scored = evaluation.scored_answers(with_hits.unionByName(without.drop("question")), cases, keep=("retrieval_mode",))
+    return evaluation.answer_metrics(scored, ("retrieval_mode",)).withColumnRenamed("retrieval_mode", "mode")
+
+
+@query(f"{_CONTEXT} SELECT query_id, count(*) AS n, first(chunk_id ORDER BY rank) AS first, last(doc_id ORDER BY rank) AS last_doc FROM ctx GROUP BY query_id")
+def b10_per_query_output(spark: SparkSession, d: str) -> DataFrame:
+    """The context of each query written as a JSON line, and read again."""
+    path = scratch(spark)
+    hits = context_hits(spark, d).select("query_id", "rank", "chunk_id", "doc_id", "score", "source")
+    writers.per_query(hits, path)
+    lists = spark.read.schema("query_id string, hits array<struct<rank:int,chunk_id:string,doc_id:string,score:double,source:string>>").json(path)
+    return lists.select("query_id", F.size("hits").cast("long").alias("n"), F.get("hits", F.lit(0))["chunk_id"].alias("first"), F.element_at("hits", -1)["doc_id"].alias("last_doc"))
+
+
+@query(f"{_CONTEXT}, {_GATE} SELECT status, count(*) AS n FROM gate GROUP BY status")
+def b12_a15_json_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How many questions have which evidence, written as a JSON summary and read again."""
+    path = scratch(spark)
+    answers = answering.answers(hit_lists(spark, d))
+    writers.json_summary(answers.groupBy(F.col("evidence_status").alias("status")).agg(F.count(F.lit(1)).alias("n")), path)
+    return readers.json_summary(spark, path)
+
+
+@query(f"{_CONTEXT} SELECT count(*) AS answers, count(*) AS traces FROM asked")
+def i34_trace_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Each answer has a trace id of its own."""
+    return answering.answers(hit_lists(spark, d)).agg(F.count(F.lit(1)).alias("answers"), F.countDistinct("trace_id").alias("traces"))
+
+
+@query(
+    f"""{_CONTEXT} SELECT query_id, rank::VARCHAR AS number, coalesce(nullif(title, ''), doc_id) AS title, coalesce(nullif(effective_year, 0)::VARCHAR, '未知') AS year, coalesce(nullif(url, ''), 'unknown') AS source, md5(coalesce(text, '')) AS digest FROM ctx"""
+)
+def i38_parsed_context(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of each context, read back from its text."""
+    blocks = hit_lists(spark, d).select("query_id", F.explode(answering.parsed_context(answering.context(F.col("hits")))).alias("b"))
+    return blocks.select("query_id", "b.number", "b.title", "b.year", "b.source", F.md5("b.text").alias("digest"))
+
+
 _FIT = f"""{q.CHUNK}, base AS (SELECT *, {q.squeeze("display_text")} AS x, {q.key_phrase("display_text")} AS k, coalesce(title, '') AS t FROM chunk),
 fit AS (SELECT *, list_position({q.strings(CAMPUS.draw_order)}, category) AS place FROM base
   WHERE length(x) >= 120 AND NOT {q.any_held("x", CAMPUS.unfit_words)} AND {q.count_held("left(x, 220)", CAMPUS.menu_terms)} < 5
     AND NOT (({" OR ".join(f"starts_with(x, {q.literal(s)})" for s in CAMPUS.unfit_starts)}) AND NOT contains(left(x, 160), '。'))
     AND NOT starts_with(t, '- ') AND NOT list_contains({q.strings(CAMPUS.unfit_titles)}, t) AND {q.count_held("k", CAMPUS.menu_terms)} < 3 AND list_contains({q.strings(CAMPUS.draw_order)}, category)),
 turn AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY md5('20260611' || chunk_id), chunk_id) AS turn FROM fit),
-drawn AS (SELECT *, row_number() OVER (ORDER BY turn, place) AS n FROM turn QUALIFY row_number() OVER (ORDER BY turn, place) <= 85)"""
+drawn AS (SELECT *, row_number() OVER (ORDER BY turn, place) AS n FROM turn QUALIFY row_number() OVER (ORDER BY turn, place) <= 85),
+open AS (SELECT i + (SELECT count(*) FROM drawn) AS n FROM range(1, {len(CAMPUS.unanswerable_questions) + 1}) r(i))"""
 
 
 @query(
     f"""WITH {_FIT} SELECT 'q' || lpad(n::VARCHAR, 3, '0') AS question_id, chunk_id, CASE WHEN n <= 15 THEN 'dev' WHEN n <= 75 THEN 'test' ELSE 'demo' END AS split_name,
   left(display_text, 260) AS reference_answer, CASE category WHEN 'undergraduate_teaching' THEN 'undergraduate_rule' WHEN 'student_affairs' THEN 'campus_service' WHEN 'library' THEN 'campus_service'
-  WHEN 'global' THEN 'international' WHEN 'university_overview' THEN 'single_fact' ELSE category END AS type FROM drawn"""
+  WHEN 'global' THEN 'international' WHEN 'university_overview' THEN 'single_fact' ELSE category END AS type FROM drawn
+UNION ALL SELECT 'q' || lpad(n::VARCHAR, 3, '0'), NULL, split, {q.literal(CAMPUS.unanswerable_answer)}, 'unanswerable'
+  FROM (SELECT n, 'test' AS split FROM open UNION ALL SELECT n, CASE WHEN n <= 15 THEN 'dev' WHEN n <= 75 THEN 'test' ELSE 'demo' END FROM open WHERE n <= 85)"""
 )
 def k03_f10_f11_f12_generated_cases(spark: SparkSession, d: str) -> DataFrame:
     made = evaluation.generated_cases(chunk_hits(spark, d))

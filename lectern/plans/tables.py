@@ -12,7 +12,7 @@ from lectern.operators import evaluation, ingest
 from lectern.operators import indexing as ix
 from lectern.plans import fragments as q
 from lectern.plans.registry import query
-from lectern.session import scratch, table
+from lectern.session import scratch, settled, table, texts
 from lectern.sources import readers, writers
 
 TEXT = "coalesce(text, '')"
@@ -73,7 +73,7 @@ def a10_parsed_html(spark: SparkSession, d: str) -> DataFrame:
         F.lit("<html><head><title>"), plain(F.coalesce("title", F.lit(""))), F.lit("</title><style>p {}</style></head><body><nav><li>menu</li></nav><article><p>"),
         F.array_join(F.split(plain(F.col("text")), "\n"), "</p><p>"), F.lit("</p></article></body></html>"),
     )
-    pages = table(spark, d, "documents").where("text is not null").select("doc_id", page.alias("markup"))
+    pages = texts(spark, d, "documents").where("text is not null").select("doc_id", page.alias("markup"))
     return readers.html_pages(pages, "doc_id", "markup").where("text != ''").select("doc_id", "title", "text")
 
 
@@ -130,7 +130,7 @@ def _manifest(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_hits(spark: SparkSession, d: str) -> DataFrame:
     """Chunks, each once."""
-    return ix.once(table(spark, d, "chunks").where("chunk_id is not null"))
+    return ingest.once(table(spark, d, "chunks").where("chunk_id is not null"), "chunk_id")
 
 
 @query(
@@ -212,8 +212,48 @@ def c12_parser(spark: SparkSession, d: str) -> DataFrame:
     return _manifest(spark, d).select("doc_id", "url", F.when(pdf, "pdf").otherwise("html").alias("parser"))
 
 
+@query(
+    """SELECT 'parsed' AS outcome, count(*) AS n FROM documents WHERE doc_id % 7 NOT IN (0, 3) AND text IS NOT NULL
+UNION ALL SELECT 'UnicodeDecodeError', count(*) FROM documents WHERE doc_id % 7 = 3 AND text IS NOT NULL"""
+)
+def c13_broken_pages_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as a page, of which some are no UTF-8, some null and all nested deeply: broken ones are dropped and counted."""
+    markup = F.concat(F.lit("<div>" * 2000), F.lit("<p>x "), F.regexp_replace("text", "[&<>]", " "))
+    raw = F.when(F.col("doc_id") % 7 == 3, F.concat(F.unhex(F.lit("FFFE41")), F.encode(markup, "utf-8"))).when(F.col("doc_id") % 7 != 0, F.encode(markup, "utf-8"))
+    parsed = readers.html_pages(texts(spark, d, "documents").where("text is not null").select("doc_id", raw.alias("raw")), "doc_id", "raw")
+    parsed = settled(parsed.select("doc_id", "text", "error"))
+    kept = readers.parsed_only(parsed).agg(F.count(F.lit(1)).alias("n")).select(F.lit("parsed").alias("outcome"), "n")
+    return kept.unionByName(readers.parse_errors(parsed).withColumnRenamed("error", "outcome"))
+
+
+_LINE = q.strip("regexp_replace(l, '[ \\t\\r\\n\\f\\x{a0}]+', ' ', 'g')")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, list_transform(string_split(replace(replace(replace(text, '&', ' '), '<', ' '), '>', ' '), chr(10)), lambda l: {_LINE}) AS lines FROM documents WHERE text IS NOT NULL),
+part AS (SELECT doc_id, list_filter(list_transform(lines, lambda l, i: CASE WHEN l = '' THEN NULL WHEN i % 5 = 3 THEN chr(10) || l || chr(10) ELSE l END), lambda x: x IS NOT NULL) AS parts FROM p)
+SELECT doc_id, 'Page ' || doc_id AS title, 'https://e.example/' || doc_id AS canonical, {q.strip("regexp_replace(array_to_string(parts, chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM part WHERE len(parts) > 0"""
+)
+def a10_i08_i09_i10_varied_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's lines as paragraphs without end tags, items, headings and cells of a page with furniture and a canonical link."""
+    lines = F.split(F.regexp_replace("text", "[&<>]", " "), "\n")
+
+    def marked(line, i):
+        kind = (i + 1) % 5
+        return F.when(kind == 0, F.concat(F.lit("<P>"), line)).when(kind == 1, F.concat(F.lit("<ul class=x><li>"), line, F.lit("</ul>"))).when(
+            kind == 2, F.concat(F.lit("<table><tr><td>"), line, F.lit("</table>"))
+        ).when(kind == 3, F.concat(F.lit("<h3><b>"), line, F.lit("</b></h3>"))).otherwise(F.concat(F.lit("<p>"), line, F.lit("<nav>away<p>away</nav>")))
+
+    page = F.concat(
+        F.lit("<!doctype html><head><link rel='alternate canonical' href='https://e.example/"), F.col("doc_id"), F.lit("'><title>other</title></head><header><h1>Site</h1></header><form><p>login</form><h1>Page <i>"),
+        F.col("doc_id"), F.lit("</i></h1><p>before<main>"), F.array_join(F.transform(lines, marked), ""), F.lit("</main><footer>end"),
+    )
+    pages = texts(spark, d, "documents").where("text is not null").select("doc_id", page.alias("markup"))
+    return readers.html_pages(pages, "doc_id", "markup").where("text != ''").select("doc_id", "title", "canonical", "text")
+
+
 @query("SELECT doc_id, TRY_CAST(replace(published_date, '/', '-') AS DATE)::VARCHAR AS day FROM documents WHERE TRY_CAST(replace(published_date, '/', '-') AS DATE) IS NOT NULL AND regexp_matches(published_date, '^\\d{4}[-/]\\d{2}[-/]\\d{2}$')")
-def c13_parse_errors_dropped(spark: SparkSession, d: str) -> DataFrame:
+def c13_dates_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Dates of full numeric form; what can't be parsed becomes null and is dropped, nothing raises."""
     day = F.try_to_date(F.replace("published_date", F.lit("/"), F.lit("-")), "yyyy-MM-dd")
     return table(spark, d, "documents").where(F.col("published_date").rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}$")).select("doc_id", day.cast("string").alias("day")).where("day is not null")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir.  Where that is unset, a temporary one if Spark runs on this machine only, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("a cluster must name the folder that its executors share in spark.checkpoint.dir")
         folder = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="lectern-")
         _OWN[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
@@ -31,6 +34,18 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [str(f.getPath().toString()) for f in found or ()]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The frame computed once, as a compressed table in the shared folder.
 
@@ -41,6 +56,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are dear to work on (long texts), dealt out where it comes in fewer partitions than there are cores.
+
+    A small file is one row group and would keep one core busy while the others wait; a table of many splits stays as it is.
+    """
+    df, cores = table(spark, folder, name), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 #: Bytes of input for each core under which a table of few files is spread over the cores.
 SPREAD_BYTES = 32 << 20
 

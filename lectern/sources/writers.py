@@ -48,14 +48,31 @@ def vector_index(vectors: DataFrame, path: str) -> None:
     vectors.sortWithinPartitions("effective_year", "status", "doc_id").write.mode("overwrite").partitionBy("category").parquet(path)
 
 
+def json_summary(df: DataFrame, path: str) -> None:
+    """A summary (few rows) as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def per_query(hits: DataFrame, path: str) -> None:
+    """One JSON line for each query: query_id and its hits (with their other columns) in order of rank."""
+    fields = [c for c in hits.columns if c not in ("query_id", "rank")]
+    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("hits"))
+    json_lines(lists, path)
+
+
 def markdown(df: DataFrame, most_rows: int = 1000) -> str:
-    """A summary table as Markdown; whole numbers as they are, others with three decimals.  For reports of few rows."""
+    """A summary table as Markdown; whole numbers as they are, others with three decimals.
+
+    For reports that a person reads: a table of more than most_rows rows is refused.
+    """
 
     def shown(v) -> str:
         if v is None:
             return ""
         return f"{v:.3f}" if isinstance(v, float) and v != int(v) else str(int(v)) if isinstance(v, float) else str(v)
 
-    rows = df.limit(most_rows).collect()
+    rows = df.limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows are no summary; write them as a table")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(shown(v) for v in r) + " |" for r in rows])

@@ -267,6 +267,37 @@ def test_rendering_aligns_tables_and_hides():
     assert html.render(html.build(markup)) == ["a", "x    | yy", "long | z", "1. p", "2. q"]
 
 
+def test_deep_and_broken_markup(spark):
+    deep = "<div>" * 3000 + "<table><tr><td>" * 500 + "<p>end"
+    assert readers.parsed_page(deep)[1].split("\n")[-1] == "end" and html.render(html.build(deep)) == ["end"]
+    assert html.render(html.build("<p>a</b></i></p></table>b" * 2)) == ["a", "b", "a", "b"]
+    rows = [(1, b"<p>fine</p>"), (2, b"\xff\xfe<p>no</p>"), (3, None)]
+    parsed = readers.html_pages(spark.createDataFrame(rows, "k int, m binary"), "k", "m")
+    assert [(r["k"], r["text"]) for r in readers.parsed_only(parsed).collect()] == [(1, "fine")]
+    assert [(r["error"], r["n"]) for r in readers.parse_errors(parsed).collect()] == [("UnicodeDecodeError", 1)]
+    assert html.render(html.build("<p>run <code>x = 1</code></p><pre>a\n  b</pre>"), code=True) == ["run `x = 1`", "```", "a", "  b", "```"]
+
+
+def test_one_row_of_each_key(spark):
+    rows = [(1, "a", {"x": 1}), (1, "a", {"x": 1}), (2, "b", None), (2, "c", {}), (None, "d", None), (None, "d", None), (3, None, None)]
+    df = spark.createDataFrame(rows, "k int, _key string, m map<string,int>")
+    for _ in range(2):
+        got = sorted(((r["k"] or 0), r["_key"]) for r in ingest.once(df, "k").where("_key is not null").collect())
+        assert len(got) == 3 and got[0] == (0, "d") and got[1] == (1, "a") and got[2][0] == 2
+    assert ingest.once(df.limit(0), "k").count() == 0
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lectern import session
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(cluster)
+
+
 # sources and sinks
 
 
@@ -287,15 +318,23 @@ def test_registry_defaults(spark):
 def test_markdown(spark):
     text = writers.markdown(spark.createDataFrame([("x", 2.0, 0.12345, 3)], "name string, a double, b double, c int"))
     assert text.splitlines()[2] == "| x | 2 | 0.123 | 3 |"
+    with pytest.raises(ValueError):
+        writers.markdown(spark.range(3), most_rows=2)
 
 
 def test_streamed_upsert(spark, tmp_path):
-    from lectern.streaming.fetches import upsert_into
+    from lectern.streaming.fetches import latest, upsert_into, versions
 
     write = upsert_into(str(tmp_path / "docs"), "id", "at")
     write(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, v string, at int"), 0)
     write(spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "id int, v string, at int"), 1)
-    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "docs")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    rows = lambda: sorted((r["id"], r["v"]) for r in latest(spark, str(tmp_path / "docs")).collect())
+    assert rows() == [(1, "a"), (2, "c"), (3, "d")]
+    write(spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "id int, v string, at int"), 1)  # a batch that is run again
+    assert rows() == [(1, "a"), (2, "c"), (3, "d")]
+    write(spark.createDataFrame([(2, "e", 3), (None, "x", 3)], "id int, v string, at int"), 2)
+    assert rows() == [(1, "a"), (2, "e"), (3, "d")] and sorted(map(len, versions(spark, str(tmp_path / "docs")).values()))[-1] == 2
+    assert latest(spark, str(tmp_path / "none")) is None
 
 
 def test_metrics_count_misses(spark):
