@@ -8,49 +8,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import boilerplate, encode, leaks, near_pairs, readability, repeated_lines, residue, split
-from lectern.session import table
+from lectern.session import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return split.oversized(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
+    return split.oversized(texts(spark, d, "chunks"), table(spark, d, "chunk_limits"))
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split.pieces(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
+    return split.pieces(texts(spark, d, "chunks"), table(spark, d, "chunk_limits"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.furniture_lines(table(spark, d, "documents"))
+    return boilerplate.furniture_lines(texts(spark, d, "documents"))
 
 
 def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.main_bodies(table(spark, d, "documents"))
+    return boilerplate.main_bodies(texts(spark, d, "documents"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.found_lines(table(spark, d, "documents"), table(spark, d, "manifest"))
+    return repeated_lines.found_lines(texts(spark, d, "documents"), table(spark, d, "manifest"))
 
 
 def p3_wordings(spark: SparkSession, d: str) -> DataFrame:
     """How many wordings each site repeats, and in how many of its documents the commonest stands."""
-    sited = repeated_lines.sited_lines(table(spark, d, "documents"), table(spark, d, "manifest"))
+    sited = repeated_lines.sited_lines(texts(spark, d, "documents"), table(spark, d, "manifest"))
     found = repeated_lines.repeated(sited)
     return found.groupBy("site").agg(F.count(F.lit(1)).alias("n_wordings"), F.max("n_docs").alias("most_docs"), F.max("n_site").alias("n_site"))
 
 
 def p3_texts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     return repeated_lines.without_lines(docs, repeated_lines.found_lines(docs, table(spark, d, "manifest")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residues(table(spark, d, "documents")).select("doc_id")
+    return residue.residues(texts(spark, d, "documents")).select("doc_id")
 
 
 def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residues(table(spark, d, "documents")).groupBy("residue").agg(F.count(F.lit(1)).alias("n_docs"))
+    return residue.residues(texts(spark, d, "documents")).groupBy("residue").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,33 +68,33 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encoded(table(spark, d, "documents"))
+    return encode.encoded(texts(spark, d, "documents"))
 
 
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Whether each text comes back from its ids (null as '')."""
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     back = encode.decoded(encode.encoded(docs)).withColumnRenamed("text", "back")
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(back, "doc_id").select("doc_id", (F.col("text") == F.col("back")).alias("same"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+    return leaks.leaks(texts(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """The items that leaked, in how many documents, and the longest verbatim match."""
-    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+    found = leaks.leaks(texts(spark, d, "documents"), table(spark, d, "heldout_items"))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("longest").alias("longest"))
 
 
 def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source")
-    return leaks.without_leaks(docs, leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")))
+    return leaks.without_leaks(docs, leaks.leaks(texts(spark, d, "documents"), table(spark, d, "heldout_items")))
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     return readability.levels(docs, readability.fit(docs, table(spark, d, "level_labels")))
 
 

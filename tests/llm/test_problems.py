@@ -1,6 +1,7 @@
 """The numbered problems on small literal cases, against brute force, round trips and held-out ratings."""
 
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -39,13 +40,43 @@ def test_pieces_keep_limit_overlap_and_text(seed):
     text = "".join(rng.choice(["句子。", "word ", "\n", "\r\n", "长" * rng.randint(1, 50), "a.b ", "！", "é", "\n\n", "x" * rng.randint(1, 90)]) for _ in range(rng.randint(0, 60)))
     limit, overlap = rng.randint(5, 90), rng.randint(0, 60)
     got = split.split_text(text, limit, overlap)
-    shared = min(overlap, limit // 2)
+    shared = min(overlap, limit - 1)
     stripped = text.strip(split.BLANKS)
     assert all(len(p) <= limit for p in got)
     assert got[0] + "".join(p[shared:] for p in got[1:]) == stripped
     assert all(a[len(a) - shared :] == b[:shared] for a, b in zip(got, got[1:]))
 
 
+def fewest_forced(text, limit, overlap):
+    """The least number of cuts that aren't natural, by dynamic programming over all places."""
+    natural = {p for p, s in zip(*split.boundaries(text)) if s >= split.SENTENCE}
+    best = {}
+    for end in range(overlap + 1, len(text) + 1):
+        came = [0] * (end <= limit) + [best[c] for c in best if end - (c - overlap) <= limit]
+        if came:
+            best[end] = min(came) + (end < len(text) and end not in natural)
+    return best[len(text)]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_no_cut_is_forced_without_need(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["句子。", "word ", "\n", "长" * rng.randint(1, 30), "！", "x" * rng.randint(1, 50)]) for _ in range(rng.randint(5, 40))).strip(split.BLANKS)
+    limit = rng.randint(12, 60)
+    overlap = rng.randint(0, limit // 2)
+    natural = {p for p, s in zip(*split.boundaries(text)) if s >= split.SENTENCE}
+    if len(text) > limit:
+        ends = split.cut_places(text, limit, overlap)
+        assert sum(e not in natural for e in ends[:-1]) == fewest_forced(text, limit, overlap)
+
+
+def test_very_long_texts_are_cut_in_linear_time():
+    text = "这是一句话，说了一些事情。" * 150_000 + "x" * 50_000 + "And a sentence of some more words. " * 100_000
+    began = time.time()
+    got = split.cut_pieces(text, 600, 70)
+    assert time.time() - began < 60 and all(len(p) <= 600 for p, _ in got) and sum(part > 600 for _, part in got) >= 80
+
+
 def test_cuts_fall_on_sentences_where_there_are_any():
     text = "这是一句完整的话。" * 40
     got = split.split_text(text, 60, 0)
