@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from lectern.functions import html
 from lectern.llm import page
 from lectern.llm.batches import per_text
 
@@ -23,3 +24,15 @@ def furniture_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def main_bodies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = "title") -> DataFrame:
     """(id, body) of every row: the text without furniture; null stays null, a page of furniture alone gives ''."""
     return per_text(docs, lambda text, title: [(page.matter(text, title),)], id_col, text_col, title_col, "body string")
+
+
+def rendered(pages: DataFrame, id_col: str = "doc_id", markup_col: str = "markup") -> DataFrame:
+    """(id, text) of every page of markup: its visible text by the tree builder, blocks and list items a line each, tables aligned.
+
+    Navigation, asides and footers are left out with all they hold.  Null markup gives a null text, an empty page ''.
+    """
+
+    def found(markup, _):
+        return [(None if markup is None else "\n".join(html.render(html.build(markup), skip=page.SKIPPED, code=True)),)]
+
+    return per_text(pages, found, id_col, markup_col, None, "text string")

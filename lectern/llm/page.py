@@ -2,9 +2,13 @@
 
 A page arrives as lines that some fetcher rendered, or as markup (then ``functions.html`` renders it first, leaving out
 invisible and navigation elements).  ``parse`` builds a flat tree: every line opens a block of some kind, and blocks
-that are never marked in text are implied.  A heading such as "related pages" opens an implied list that stays open
-until a line that can't be an entry; a run of menu words is an implied menu; the first heading line is the implied
-title.  ``matter`` then emits the visible blocks in reading order, keeping paragraph gaps, list bullets and tables, whose
+that are never marked in text are implied.  The page's matter is an implied main block: it begins at the title and ends
+with the last line that says something (a sentence, a contact, opening hours, a list of such).  What lies outside it and
+looks like links (short, no sentence) is a margin, whatever its words: everything above the title, and below the matter
+what follows its last line.  Rows of short items set apart by bars, dots or gaps are implied menus at the margins, and a
+title is told from a margin by taking up what the matter speaks of.  Listed words are hints for what stands inside the matter
+or beside its title, where position says nothing: a heading such as "related pages" opens an implied list that stays open
+until a line that can't be an entry; a run of menu words is an implied menu.  ``matter`` then emits the visible blocks in reading order, keeping paragraph gaps, list bullets and tables, whose
 cells are padded to common widths.
 
 Lines are matched on a key that holds letters and digits only, after compatibility folding, so that case, width,
@@ -18,10 +22,10 @@ import unicodedata
 
 from lectern.functions import html
 
-MENU, TRAIL, NOTICE, BYLINE, TOOLS, ASIDE, ENTRY, LEGAL, FOOTER = (
-    "menu", "trail", "notice", "byline", "tools", "aside", "entry", "legal", "footer",
+MENU, TRAIL, NOTICE, BYLINE, TOOLS, ASIDE, ENTRY, LEGAL, FOOTER, MARGIN = (
+    "menu", "trail", "notice", "byline", "tools", "aside", "entry", "legal", "footer", "margin",
 )
-FURNITURE = frozenset((MENU, TRAIL, NOTICE, BYLINE, TOOLS, ASIDE, ENTRY, LEGAL, FOOTER))
+FURNITURE = frozenset((MENU, TRAIL, NOTICE, BYLINE, TOOLS, ASIDE, ENTRY, LEGAL, FOOTER, MARGIN))
 TITLE, HEADING, TEXT, ITEM, ROW, BLANK = "title", "heading", "text", "item", "row", "blank"
 
 #: What menus of university sites offer.
@@ -63,6 +67,7 @@ _KEYED = {
 _KEYED_RE = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _KEYED.items()))
 _ADDRESS = re.compile(r"\W*\d{1,5} +[a-z' -]{2,40}\b(?:avenue|street|road|boulevard)\b[^.]{0,40}$", re.I)
 _FIELD = re.compile(r"[{}%$<>«»_]")
+_OPEN = re.compile(r"[{}%$<>«_]")
 _NEIGHBOUR = re.compile(r"[上下]一[篇条页则]\s*[::]|(?:previous|next)(?: (?:page|article|post))?\s*:", re.I)
 _CRUMBS = re.compile(r"\W*(?:首页|主页|home)\s*(?:[>›»→]|-->)\s*\S", re.I)
 
@@ -81,6 +86,93 @@ _LISTED = re.compile(r"^\s*(?:[-*·•▪]\s|[((][一二三四五六七八九十
 _CJK = re.compile("[㐀-鿿]")
 
 
+#: What sets the items of a menu apart, and a line that nothing but furniture looks like at a margin.
+_GAPS = re.compile(r"\s*[|｜·•]\s*|\s+[›»→]\s+|\s{2,}|\t+|　+")
+_MARGINAL = re.compile(r"^\W*[©®↑▲△☰✉☎⌂»›←→]|\s[»›→]\s*$|\(\d+\)\s*$|^[^.:。：]{3,60}[?？]\s*$")
+_CONTACT = re.compile(r"\d{3,}|\w@\w|X{3,}|^ {4}|\[[^\]]{3,}\]|联系|电话|邮箱|地点|时间|contact|phone|e-?mail|room\b|office hours|hours", re.I)
+#: Ideographs or words of a line that can still be a link; letters of sentences that make a page's matter (an ideograph is two).
+LINK_WIDE, LINK_WORDS, MATTER = 7, 5, 80
+
+
+_ENDS = re.compile(r"[。.!！;；:：]\W*$")
+
+
+def _says(line: str) -> bool:
+    """Whether a line says something by itself: a sentence, a contact, opening hours, a numbered item or a row of a table."""
+    return bool(_SENTENCE.search(line) or _CLOCK.search(line) or _CONTACT.search(line) or _FIELD.search(line) or _HEAD.match(line) or _LISTED.match(line) or line.count(" | ") >= 2)
+
+
+def _items(line: str) -> int:
+    """How many short items a line has that are set apart like links."""
+    items = [key_of(i) for i in _GAPS.split(line.strip("[]【】·•|- \t\r"))]
+    return len(items) if len(items) > 1 and all(0 < len(i) <= (10 if _CJK.search(i) else 24) for i in items) else 0
+
+
+def _link_like(line: str, key: str) -> bool:
+    if _OPEN.search(line):
+        return False
+    if _MARGINAL.search(line) or _items(line) >= 2:
+        return len(key) <= 60
+    return (len(key) <= LINK_WIDE if _CJK.search(line) else len(line.split()) <= LINK_WORDS) and not _says(line)
+
+
+def _in_table(blocks: list[Block], i: int) -> bool:
+    """Whether the line before or after has as many cells: rows of a table come together, menus alone."""
+    cells = [b.line.count("|") + b.line.count("\t") for b in blocks[max(0, i - 1) : i + 2]]
+    at = min(i, 1)
+    return cells[at] > 0 and cells[at] in cells[:at] + cells[at + 1 :]
+
+
+def _taken_up(key: str, rest: str) -> int:
+    """How many of the title's short runs of letters stand in the rest of the page."""
+    n = 2 if _CJK.search(key) else 5
+    return sum(key[i : i + n] in rest for i in range(len(key) - n + 1))
+
+
+def _tells(b) -> bool:
+    """Whether a line is matter by its form: long, or a sentence."""
+    if b.kind != TEXT or _MARGINAL.search(b.line) or _items(b.line) >= 2:
+        return False
+    some = len(b.key) > LINK_WIDE if _CJK.search(b.line) else len(b.line.split()) > LINK_WORDS
+    return len(b.key) >= 40 or (some and bool(_SENTENCE.search(b.line)))
+
+
+def _mark_margins(blocks: list[Block], at: int, known: bool) -> int:
+    """Marks what lies outside the matter; gives where the title stands, which is another place or none if it was taken for one.
+
+    A page without sentences has no matter to be outside of; its lines stay what they are.
+    """
+    told = [i for i, b in enumerate(blocks) if _tells(b) and not (known and i == at)]
+    if sum(len(blocks[i].key) * (2 if _CJK.search(blocks[i].line) else 1) for i in told) < MATTER:
+        return at
+    first = told[0]
+    taken: dict[int, int] = {}
+    if not known and at >= first:
+        at = -1  # a sentence
+    elif not known and at >= 0:
+        # the title isn't given: of the lines above the matter it is the one whose words the matter takes up
+        rest = "".join(blocks[i].key for i in told)
+        above = [i for i in range(first) if blocks[i].kind == TEXT and not (_items(blocks[i].line) >= 2 or _MARGINAL.search(blocks[i].line))]
+        taken = {i: _taken_up(blocks[i].key, rest) for i in above}
+        if not taken.get(at):
+            at = max(above, key=lambda i: (taken[i], i), default=-1)
+            if at >= 0 and not taken[at]:
+                at = -1
+    for i in range(first):
+        b = blocks[i]
+        if b.kind == TEXT and i != at and not taken.get(i) and _link_like(b.line, b.key) and not _in_table(blocks, i) and (i < at or at < 0 or _items(b.line) >= 2 and not _HEAD.match(b.line)):
+            b.kind = MARGIN
+    for i in range(len(blocks) - 1, first, -1):
+        b = blocks[i]
+        if b.kind == BLANK or b.kind in FURNITURE:
+            continue
+        if b.kind == TEXT and _link_like(b.line, b.key) and not _in_table(blocks, i):
+            b.kind = MARGIN
+        elif _ENDS.search(b.line) or _CLOCK.search(b.line) or _CONTACT.search(b.line) or _OPEN.search(b.line) or _HEAD.match(b.line) or _LISTED.match(b.line) or _in_table(blocks, i) or len(b.key) >= 40:
+            break
+    return at
+
+
 def key_of(line: str) -> str:
     return _NOT_KEY.sub("", line.lower())
 
@@ -100,10 +192,14 @@ class Block:
         self.kind = TEXT if self.key else BLANK
 
 
+#: Elements of markup that hold no matter.
+SKIPPED = frozenset(("nav", "aside", "footer"))
+
+
 def lines_of(text: str) -> list[str]:
     """The lines of a page, as given, or as rendered where the page is markup."""
     if _MARKUP.search(text):
-        return html.render(html.build(text), skip=frozenset(("nav", "aside", "footer")))
+        return html.render(html.build(text), skip=SKIPPED, code=True)
     return text.split("\n")
 
 
@@ -192,7 +288,9 @@ def parse(text: str, title: str | None = None) -> list[Block]:
     for b, near in menu_run:
         if not any(kind in FURNITURE for kind in near) or _HEAD.match(b.line):
             b.kind = TEXT
-    at = _title_at(blocks, key_of(folded(title)) if title else "")
+    name = key_of(folded(title)) if title else ""
+    at = _title_at(blocks, name)
+    at = _mark_margins(blocks, at, at >= 0 and blocks[at].key == name)
     inside = False
     for i, b in enumerate(blocks):
         if i == at:
@@ -211,7 +309,7 @@ def parse(text: str, title: str | None = None) -> list[Block]:
                 b.kind = ITEM
             elif _HEAD.match(line) and len(line) < 60 or (len(b.key) < (14 if _CJK.search(line) else 60) and not _SENTENCE.search(line) and not _CLOCK.search(line)):
                 b.kind = HEADING
-        elif b.kind != BLANK and b.kind != ENTRY:
+        elif b.kind not in (BLANK, ENTRY, MARGIN):
             inside = False
     return blocks
 

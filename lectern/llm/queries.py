@@ -29,6 +29,26 @@ def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_bodies(texts(spark, d, "documents"))
 
 
+def p2_rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's lines as paragraphs, items and cells of a page with scripts, menus and hidden parts, rendered again."""
+    lines = F.split(F.regexp_replace("text", "[&<>]", " "), "\n")
+
+    def marked(line, i):
+        kind = i % 4
+        return (
+            F.when(kind == 0, F.concat(F.lit("<p>"), line))
+            .when(kind == 1, F.concat(F.lit("<ul><li>"), line, F.lit("</ul>")))
+            .when(kind == 2, F.concat(F.lit("<DIV>"), line, F.lit("<span style='display:none'>gone</span></DIV>")))
+            .otherwise(F.concat(F.lit("<aside><p>away</aside><blockquote>"), line, F.lit("</blockquote><script>gone()</script>")))
+        )
+
+    page = F.concat(
+        F.lit("<!doctype html><title>gone</title><nav><ul><li>Home<li>About</ul></nav><main>"), F.array_join(F.transform(lines, marked), ""),
+        F.lit("<table><tr><th>number<td>"), F.col("doc_id"), F.lit("<tr><th>kind<td>page</table></main><footer><div><p>imprint</div></footer>"),
+    )
+    return boilerplate.rendered(texts(spark, d, "documents").where("text is not null").select("doc_id", page.alias("markup")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.found_lines(texts(spark, d, "documents"), table(spark, d, "manifest"))
 
@@ -110,13 +130,15 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_wordings, p3_texts, p4_found, p4_kinds, p5_found, p5_counts, p5_classes,
+            p1_found, p1_pieces, p2_found, p2_bodies, p2_rendered, p3_found, p3_wordings, p3_texts, p4_found, p4_kinds, p5_found, p5_counts, p5_classes,
             p6_ids, p6_round_trip, p7_found, p7_items, p7_kept, p8_found, p8_levels,
         )
     }
 
 
 _STRIPPED = r"regexp_replace(text, '^[ \t\r\n\x{00A0}\x{3000}]+|[ \t\r\n\x{00A0}\x{3000}]+$', '', 'g')"
+#: What Python strips.
+_STRIP = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _OVER = rf"""
 over AS (
   SELECT DISTINCT c.chunk_id, s.stripped, l.max_chars
@@ -145,6 +167,10 @@ SELECT chunk_id, CAST(max(CASE WHEN list_max(list_transform(
     regexp_split_to_array(regexp_replace(regexp_replace(stripped, '([。！？；])', '\1' || chr(10), 'g'),
       '([.!?])([ \t\r\n\x{{00A0}}\x{{3000}}])', '\1' || chr(10) || '\2', 'g'), '[\r\n]'), lambda p: length(p))) > max_chars THEN 1 ELSE 0 END) AS INTEGER) AS forced
 FROM over GROUP BY chunk_id""",
+        "p2_rendered": rf"""WITH l AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '[&<>]', ' ', 'g'), chr(10)),
+    lambda x, i: regexp_replace(regexp_replace(CASE WHEN i % 4 = 2 THEN '- ' || x ELSE x END, '[ \t\r\n\f\x{{a0}}]+', ' ', 'g'), '^{_STRIP}+|{_STRIP}+$', '', 'g')) AS lines FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(list_concat(list_filter(lines, lambda x: x <> ''),
+  ['number | ' || doc_id, 'kind   | page']), chr(10)) AS text FROM l""",
         "p3_found": f"WITH {_REPEATED} SELECT k.doc_id, CAST(k.line_no AS INTEGER) AS line_no FROM keyed k JOIN heavy h ON k.site = h.site AND k.wording = h.wording",
         "p3_wordings": f"WITH {_REPEATED} SELECT site, count(*) AS n_wordings, max(n_docs) AS most_docs, max(n_site) AS n_site FROM heavy GROUP BY site",
         "p6_round_trip": "SELECT doc_id, true AS same FROM documents",

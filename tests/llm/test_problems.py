@@ -143,6 +143,61 @@ def test_menus_in_any_dress():
     assert page.furniture("服务预约\n这里讲预约的办法，很长的一段话。\n资源导航\n又一段话，讲资源在哪里。") == []
 
 
+MARGINS = """Skip navigation
+© Example University
+Was this page helpful?
+Comments (12)
+Related topics
+加入收藏  设为首页
+招生  院系  科研  校园生活
+Log out
+Admissions | Departments | Campus life
+Site feedback
+↑ Top
+More stories
+订阅我们
+快速链接
+校内导航
+Follow @example
+返回列表
+Next story »
+手机版
+Cookie choices""".split("\n")
+BODIES = [
+    "各位同学在借用场地以前，应当先到学生服务大厅登记，并说明用途和人数。\n登记以后三天内会收到回复，请按约定的时间到场，爱护公共设备。",
+    "Students who wish to use the hall must register at the service desk before the start of term.\nThe desk replies within three days and keeps a list of all bookings that were made.",
+]
+
+
+@pytest.mark.parametrize("matter", [BODIES[0], BODIES[1], "场地借用说明\n" + BODIES[0], "Using the hall\n" + BODIES[1]])
+def test_margins_are_known_by_their_place(matter):
+    n = matter.count("\n") + 1
+    missed = sum((page.furniture(f"{line}\n{matter}") != [1]) + (page.furniture(f"{matter}\n{line}") != [n + 1]) for line in MARGINS)
+    assert missed <= 2
+    both = page.furniture("\n".join([*MARGINS, matter, *MARGINS]))
+    assert len(both) >= 2 * len(MARGINS) - 2 and not set(both) & set(range(len(MARGINS) + 1, len(MARGINS) + n + 1))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "场地借用说明\n" + BODIES[0] + "\n联系方式\n联系人：王老师 电话：0000-1234567\n开放时间：周一至周五 8:00—17:00",
+        "Using the hall\n" + BODIES[1] + "\n(1) bring a card\n(2) pay at the desk",
+        "Using the hall\n" + BODIES[1] + "\nday | hall | fee\nMonday | small | 4\n",
+        "关于场地借用的说明\n" + BODIES[0] + "\n书院与住宿保留根据实际情况调整安排的权利",
+        "请启用 JavaScript",
+        "敬请期待",
+    ],
+)
+def test_matter_at_the_edges_stays(text):
+    assert page.furniture(text) == []
+
+
+def test_rendering_of_markup(spark):
+    df = spark.createDataFrame([(1, "<body><nav>x</nav>" + "<div>" * 5000 + "deep<p hidden>no"), (2, None), (3, "")], "doc_id long, markup string")
+    assert sorted((r["doc_id"], r["text"]) for r in boilerplate.rendered(df).collect()) == [(1, "deep"), (2, None), (3, "")]
+
+
 def test_tables_and_gaps():
     text = "标题甲\n\n\n\n第一段话，说了一些事情。\na | b | c\nlong | x | y\n\n末段话，也说了一些。"
     assert page.matter(text) == "标题甲\n\n第一段话，说了一些事情。\na    | b | c\nlong | x | y\n\n末段话，也说了一些。"
