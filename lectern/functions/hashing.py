@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hashlib import blake2b
+from hashlib import blake2b, md5
 
 import numpy as np
 import pandas as pd
@@ -22,22 +22,38 @@ def point_id(c: Column) -> Column:
     return F.conv(F.substring(sha256(c), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def hashed_vector(tokens, dimension: int = DIMENSION) -> np.ndarray:
-    """The signed sum of hashed tokens at length 1; the zero vector without tokens."""
+def bucket_sums(tokens, dimension: int = DIMENSION, by: str = "blake2b") -> np.ndarray:
+    """The signed sum of hashed tokens; the zero vector without tokens.
+
+    blake2b: bucket from the first four bytes, little end first, sign from the fifth.  md5: bucket from the first three
+    bytes, big end first, sign from the fourth, which SQL can compute as well.
+    """
     v = np.zeros(dimension, dtype=np.float64)
     for token in tokens:
-        d = blake2b(token.encode("utf-8"), digest_size=8).digest()
-        v[int.from_bytes(d[:4], "little") % dimension] += 1.0 if d[4] % 2 == 0 else -1.0
+        if by == "md5":
+            d = md5(token.encode("utf-8"), usedforsecurity=False).digest()
+            at, sign = int.from_bytes(d[:3], "big"), d[3]
+        else:
+            d = blake2b(token.encode("utf-8"), digest_size=8).digest()
+            at, sign = int.from_bytes(d[:4], "little"), d[4]
+        v[at % dimension] += 1.0 if sign % 2 == 0 else -1.0
+    return v
+
+
+def hashed_vector(tokens, dimension: int = DIMENSION, by: str = "blake2b") -> np.ndarray:
+    """bucket_sums at length 1."""
+    v = bucket_sums(tokens, dimension, by)
     n = np.linalg.norm(v)
     return (v / n if n > 0 else v).astype(np.float32)
 
 
-def embedder(dimension: int = DIMENSION):
+def embedder(dimension: int = DIMENSION, by: str = "blake2b", normed: bool = True):
     """A vectorised function from an array of tokens to an array of floats."""
+    make = hashed_vector if normed else bucket_sums
 
     @pandas_udf("array<float>")
     def embed(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: hashed_vector(t if t is not None else (), dimension))
+        return tokens.map(lambda t: make(t if t is not None else (), dimension, by).astype(np.float32))
 
     return embed
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import hashing
 from lectern.functions import text as tx
+from lectern.session import folders, settled
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -44,7 +47,50 @@ def term_stats(entries: DataFrame, totals: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))  # one row
 
 
-def hashed_embeddings(chunks: DataFrame, key: str = "chunk_id", text_col: str = "embedding_text", dimension: int = hashing.DIMENSION) -> DataFrame:
-    """(key, embedding) by the hashing embedder, over words, numbers, ideographs and character pairs."""
-    embed = hashing.embedder(dimension)
-    return chunks.select(F.col(key).alias(key), embed(tx.hash_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("embedding"))
+def hashed_embeddings(
+    chunks: DataFrame, key: str = "chunk_id", text_col: str = "embedding_text", dimension: int = hashing.DIMENSION, tokens: Column | None = None, by: str = "blake2b", normed: bool = True
+) -> DataFrame:
+    """(key, embedding) by the hashing embedder, over words, numbers, ideographs and character pairs (or the given tokens).
+
+    Vectors that aren't normed hold whole numbers, from which searches compute the same cosines without rounding.
+    """
+    embed = hashing.embedder(dimension, by, normed)
+    said = tx.hash_tokens(F.coalesce(F.col(text_col), F.lit(""))) if tokens is None else tokens
+    return chunks.select(F.col(key).alias(key), embed(said).alias("embedding"))
+
+
+@dataclass(frozen=True)
+class SparseIndex:
+    """A BM25 index as tables in the shared folder or wherever it was written; ``buckets`` is 0 where entries have none."""
+
+    chunks: DataFrame  # chunk_id
+    entries: DataFrame  # term, chunk_id, tf, dl (and bucket)
+    totals: DataFrame  # one row: n, avg_dl
+    stats: DataFrame  # term, df, idf
+    buckets: int = 0
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def built(tokenized: DataFrame) -> SparseIndex:
+    """The index of tokenized chunks, for this session."""
+    tokenized = settled(tokenized)
+    entries, totals = settled(postings(tokenized)), settled(corpus(tokenized))
+    return SparseIndex(tokenized.select("chunk_id"), entries, totals, settled(term_stats(entries, totals)))
+
+
+def open_sparse_index(spark: SparkSession, path: str) -> SparseIndex | None:
+    """An index that was written by ``writers.sparse_index``; None where there is none."""
+    if not folders(spark, f"{path}/postings"):
+        return None
+    lengths, stats = (spark.read.parquet(f"{path}/{name}") for name in ("doc_lengths", "term_stats"))
+    meta = spark.read.parquet(f"{path}/totals")
+    buckets = meta.first()["buckets"]  # one row
+    return SparseIndex(lengths.select("chunk_id"), spark.read.parquet(f"{path}/postings"), meta.select("n", "avg_dl"), stats, buckets)
+
+
+def open_vector_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """The vectors with their payload that were written by ``writers.vector_index``; None where there are none."""
+    return spark.read.parquet(path) if folders(spark, path) else None

@@ -16,6 +16,8 @@ from lectern.session import settled
 REGISTRY_ROWS = 100_000
 PDF_BYTES, HTML_BYTES = 52_428_800, 5_242_880
 LEAST_CHARS, LEAST_API_CHARS, LOGIN_REACH = 100, 80, 1200
+#: Parts that the links of a page are dealt out to where pages are too many to be broadcast.
+LINK_SALTS = 16
 
 
 def small(df: DataFrame, most: int = REGISTRY_ROWS) -> DataFrame:
@@ -95,6 +97,15 @@ def upserted(current: DataFrame, changes: DataFrame, key: str, order: str) -> Da
     return current.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
+def _linked(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Pages joined with their links.  Few pages are broadcast; else the links of each page are dealt out, as a home page may have very many."""
+    pages = settled(pages)
+    if pages.limit(REGISTRY_ROWS + 1).count() <= REGISTRY_ROWS:
+        return links.join(F.broadcast(pages), "parent")
+    salted = pages.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LINK_SALTS - 1))))
+    return links.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(LINK_SALTS)).cast("int")).join(salted, ["parent", "_salt"])
+
+
 def frontier(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source_id, url, depth): pages a breadth-first crawl saves, from each source's seeds over links parent -> url.
 
@@ -116,11 +127,13 @@ def frontier(edges: DataFrame, sources: DataFrame) -> DataFrame:
     known = small(rules)
     last = reached
     for depth in range(1, deepest + 1):
-        step = (
+        pages = (
             last.join(known.select("source_id", "allowed_domains", "excluded_patterns", "crawl_depth"), "source_id")
             .where(F.col("crawl_depth") >= depth)
             .withColumnRenamed("url", "parent")
-            .join(links, "parent")
+        )
+        step = (
+            _linked(pages, links)
             .where(urls.allowed(F.col("url"), F.col("allowed_domains"), F.col("excluded_patterns")))
             .select("source_id", "url")
             .distinct()

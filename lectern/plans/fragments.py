@@ -154,6 +154,22 @@ def bm25(name: str, tokens_of_chunk: str, tokens_of_question: str, top: int = 30
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {top})"""
 
 
+def dense(name: str, tokens_of_chunk: str, tokens_of_question: str, top: int = 30) -> str:
+    """CTEs ending in <name>(query_id, chunk_id, score, rank): cosines of signed token counts in 768 buckets by MD5."""
+    n = name
+    value = "CASE WHEN ('0x' || substring(h, 7, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END"
+    vector = f"SELECT {{key}}, ('0x' || left(h, 6))::BIGINT % 768 AS bucket, sum({value})::DOUBLE AS v FROM (SELECT {{key}}, md5(unnest({{tokens}})) AS h FROM {{rows}}) GROUP BY ALL"
+    return f"""{n}_c AS ({vector.format(key="chunk_id", tokens=tokens_of_chunk, rows="chunk")}),
+{n}_q AS ({vector.format(key="query_id", tokens=tokens_of_question, rows="asked")}),
+{n}_cn AS (SELECT chunk_id, sqrt(sum(v * v)) AS n FROM {n}_c GROUP BY chunk_id),
+{n}_qn AS (SELECT query_id, sqrt(sum(v * v)) AS n FROM {n}_q GROUP BY query_id),
+{n}_dot AS (SELECT query_id, chunk_id, sum(q.v * c.v) AS dot FROM {n}_q q JOIN {n}_c c USING (bucket) GROUP BY query_id, chunk_id),
+{n}_all AS (SELECT a.query_id, c.chunk_id, round(coalesce(dot / (qn.n * cn.n), 0), 6) + 0.0 AS score FROM asked a CROSS JOIN chunk c
+  LEFT JOIN {n}_dot d ON d.query_id = a.query_id AND d.chunk_id = c.chunk_id LEFT JOIN {n}_qn qn ON qn.query_id = a.query_id LEFT JOIN {n}_cn cn ON cn.chunk_id = c.chunk_id),
+{n} AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {n}_all
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {top})"""
+
+
 def lexical(name: str, hits: str) -> str:
     """CTEs that rerank <hits>(query_id, chunk_id, score, rank) lexically into <name> (with pre_rank)."""
     bonus = " + ".join(f"CASE WHEN {any_held('question', words)} AND category = {literal(kind)} THEN {worth} ELSE 0 END" for words, kind, worth in CAMPUS.category_bonuses)

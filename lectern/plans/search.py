@@ -17,7 +17,7 @@ from lectern.operators.ingest import small
 from lectern.plans import fragments as q
 from lectern.plans.registry import query
 from lectern.plans.tables import TEXT, chunk_hits
-from lectern.session import scratch, settled, table, texts
+from lectern.session import kept, scratch, settled, table, texts
 from lectern.sources import readers, writers
 from lectern.streaming import fetches
 
@@ -33,27 +33,56 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def chunk_table(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, each once, kept for all searches of the session."""
+    path = kept(spark, "chunks", f"{d}/chunks.parquet", lambda p: chunk_hits(spark, d).write.parquet(p))
+    return spark.read.parquet(path)
+
+
+def sparse(spark: SparkSession, d: str) -> ix.SparseIndex:
+    """The written BM25 index of the chunks, opened."""
+
+    def make(path: str) -> None:
+        tokens = settled(ix.tokens_of(chunk_table(spark, d)))
+        entries, totals = settled(ix.postings(tokens)), ix.corpus(tokens)
+        writers.sparse_index(entries, tokens.select("chunk_id", F.size("tokens").alias("dl")), ix.term_stats(entries, totals), totals, path)
+
+    return ix.open_sparse_index(spark, kept(spark, "sparse", f"{d}/chunks.parquet", make))
+
+
+def dense(spark: SparkSession, d: str) -> DataFrame:
+    """The written vectors of the chunks (token buckets by MD5, so that SQL can say the same), opened."""
+
+    def make(path: str) -> None:
+        chunks = chunk_table(spark, d)
+        payload = chunks.select("chunk_id", "doc_id", F.coalesce("metadata.category", F.lit("unknown")).alias("category"), "metadata.effective_year", "metadata.status")
+        writers.vector_index(payload.join(vectors_of(chunks, "chunk_id", "embedding_text"), "chunk_id"), path)
+
+    return ix.open_vector_index(spark, kept(spark, "dense", f"{d}/chunks.parquet", make))
+
+
+def vectors_of(rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    return ix.hashed_embeddings(rows, key, tokens=tx.sparse_tokens(F.coalesce(F.col(text_col), F.lit(""))), by="md5", normed=False)
+
+
 def bm25_hits(spark: SparkSession, d: str, fill: bool = True) -> DataFrame:
-    return retrieval.sparse_search(asked(spark, d), ix.tokens_of(chunk_hits(spark, d)), fill=fill)
+    return retrieval.sparse_search(asked(spark, d), sparse(spark, d), fill=fill)
 
 
-def pair_hits(spark: SparkSession, d: str) -> DataFrame:
-    """A second sparse list, over the reranker's terms of the shown text."""
-    chunks = chunk_hits(spark, d)
-    tokens = tx.rerank_tokens(F.coalesce("display_text", "text", F.lit("")))
-    return retrieval.sparse_search(asked(spark, d), ix.tokens_of(chunks, tokens=tokens), tokens=tx.rerank_tokens(F.col("question")))
+def dense_hits(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.dense_search(vectors_of(asked(spark, d), "query_id", "question"), dense(spark, d))
 
 
 def payload(spark: SparkSession, d: str, hits: DataFrame, source: str = "bm25") -> DataFrame:
     hits = hits if "source" in hits.columns else hits.withColumn("source", F.lit(source))
-    return retrieval.with_payload(hits, chunk_hits(spark, d)).join(small(asked(spark, d).select("query_id", "question")), "query_id")
+    return retrieval.with_payload(hits, chunk_table(spark, d)).join(small(asked(spark, d).select("query_id", "question")), "query_id")
 
 
 _BASE = f"{q.ASKED}, {q.CHUNK}"
 _BM25 = q.bm25("bm25", q.sparse_tokens("embedding_text"), q.sparse_tokens("question"))
-_PAIR = q.bm25("pair", q.rerank_tokens("coalesce(text, '')"), q.rerank_tokens("question"))
+_DENSE = q.dense("dense", q.sparse_tokens("embedding_text"), q.sparse_tokens("question"))
 _RRF = """fuse AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000 + rank) AS place, string_agg(DISTINCT source, '+' ORDER BY source) AS source
-  FROM (SELECT query_id, chunk_id, rank, 0 AS list, 'pairs' AS source FROM pair UNION ALL SELECT query_id, chunk_id, rank, 1, 'bm25' FROM bm25) GROUP BY query_id, chunk_id),
+  FROM (SELECT query_id, chunk_id, rank, 0 AS list, 'dense' AS source FROM dense UNION ALL SELECT query_id, chunk_id, rank, 1, 'bm25' FROM bm25) GROUP BY query_id, chunk_id),
 rrf AS (SELECT query_id, chunk_id, score, source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, chunk_id) AS rank FROM fuse
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, chunk_id) <= 30)"""
 _LEX = q.lexical("lex", "rrf")
@@ -122,8 +151,8 @@ def k02_c21_e13_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BASE}, {_BM25.split('bm25_q AS')[0].rstrip().rstrip(',')} SELECT term, df, round(idf, 6) AS idf FROM bm25_idf")
 def e01_j01_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    tokens = ix.tokens_of(chunk_hits(spark, d))
-    return ix.term_stats(ix.postings(tokens), ix.corpus(tokens)).select("term", "df", F.round("idf", 6).alias("idf"))
+    tokens = settled(ix.tokens_of(chunk_hits(spark, d)))
+    return ix.term_stats(settled(ix.postings(tokens)), ix.corpus(tokens)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({q.rerank_tokens(TEXT)}) AS term FROM documents) GROUP BY doc_id, term")
@@ -189,16 +218,16 @@ def j08_d06_g02_dense(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense_search(queries, vectors.select("vec_id", "embedding"), key="vec_id")
 
 
-@query(f"WITH {_BASE}, {_BM25}, {_PAIR}, {_RRF} SELECT query_id, chunk_id, score, rank, source FROM rrf")
+@query(f"WITH {_BASE}, {_BM25}, {_DENSE}, {_RRF} SELECT query_id, chunk_id, score, rank, source FROM rrf")
 def j09_d07_e03_e04_g03_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fused([("pairs", pair_hits(spark, d)), ("bm25", bm25_hits(spark, d))])
+    return retrieval.fused([("dense", dense_hits(spark, d)), ("bm25", bm25_hits(spark, d))])
 
 
 def _fused_payload(spark: SparkSession, d: str) -> DataFrame:
     return settled(payload(spark, d, j09_d07_e03_e04_g03_rrf(spark, d)))
 
 
-@query(f"WITH {_BASE}, {_BM25}, {_PAIR}, {_RRF}, {_LEX} SELECT query_id, chunk_id, score::DOUBLE AS score, rank, pre_rank FROM lex")
+@query(f"WITH {_BASE}, {_BM25}, {_DENSE}, {_RRF}, {_LEX} SELECT query_id, chunk_id, score::DOUBLE AS score, rank, pre_rank FROM lex")
 def j10_d08_d15_i22_g04_rerank(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.lexical_rerank(_fused_payload(spark, d)).select("query_id", "chunk_id", "score", "rank", "pre_rank")
 
@@ -214,7 +243,7 @@ def model_score() -> F.Column:
     return F.round(1 - F.abs(n - 400) / (F.lit(400.0) + n), 4)
 
 
-@query(f"WITH {_BASE}, {_BM25}, {_PAIR}, {_RRF}, {_BLEND} SELECT query_id, chunk_id, score::DOUBLE AS score, pre_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pre_rank) AS rank FROM blend")
+@query(f"WITH {_BASE}, {_BM25}, {_DENSE}, {_RRF}, {_BLEND} SELECT query_id, chunk_id, score::DOUBLE AS score, pre_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pre_rank) AS rank FROM blend")
 def j12_i23_f04_blend(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.blended(_fused_payload(spark, d), model_score()).select("query_id", "chunk_id", "score", "pre_rank", "rank")
 
@@ -224,7 +253,7 @@ def f03_g05_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.deduplicated(payload(spark, d, bm25_hits(spark, d)))
 
 
-_RETRIEVED = f"WITH RECURSIVE {_BASE}, {_BM25}, {_PAIR}, {_RRF}, {_LEX}, {_heads('lex')}, {q.fold('kept', 'head')}"
+_RETRIEVED = f"WITH RECURSIVE {_BASE}, {_BM25}, {_DENSE}, {_RRF}, {_LEX}, {_heads('lex')}, {q.fold('kept', 'head')}"
 
 
 @query(f"{_RETRIEVED} SELECT query_id, chunk_id, doc_id, rank FROM kept WHERE rank <= 5")
@@ -234,27 +263,43 @@ def j14_c18_retrieved(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.deduplicated(best, top=retrieval.CONTEXT_K).drop("old_rank")
 
 
-@query()
-def j14_hybrid_modes(spark: SparkSession, d: str) -> DataFrame:
-    """Every mode's context by the hashing embedder and BM25; an unknown mode has none."""
-    chunks, queries = settled(chunk_hits(spark, d)), settled(asked(spark, d).select("query_id", "question"))
-    vectors = settled(ix.hashed_embeddings(chunks))
-    asked_vectors = ix.hashed_embeddings(queries, "query_id", "question")
+_MODES = f"""WITH RECURSIVE {_BASE}, {_BM25}, {_DENSE}, {_RRF}, {_LEX}, {_heads('bm25', 'h1')}, {_heads('dense', 'h2')}, {_heads('rrf', 'h3')}, {_heads('lex', 'h4')},
+{q.fold('k1', 'h1')}, {q.fold('k2', 'h2')}, {q.fold('k3', 'h3')}, {q.fold('k4', 'h4')},
+hit AS (SELECT *, 'bm25' AS mode FROM k1 WHERE rank <= 10 UNION ALL SELECT *, 'dense' FROM k2 WHERE rank <= 10 UNION ALL SELECT *, 'hybrid' FROM k3 WHERE rank <= 10
+  UNION ALL SELECT *, 'hybrid_rerank' FROM k4 WHERE rank <= 10)"""
+
+
+@query(f"{_MODES} SELECT mode, query_id, chunk_id, rank FROM hit WHERE rank <= 5")
+def j14_j13_hybrid_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Every mode's context by the index and the vectors; an unknown mode has none."""
+    queries = settled(asked(spark, d).select("query_id", "question"))
+    sources = {"vectors": dense(spark, d), "query_vectors": vectors_of(queries, "query_id", "question"), "index": sparse(spark, d)}
     out = None
     for mode in (*retrieval.MODES, "no_rag"):
-        hits = retrieval.retrieve(mode, queries, chunks, vectors=vectors, query_vectors=asked_vectors)
+        hits = retrieval.retrieve(mode, queries, chunk_table(spark, d), **sources)
         part = hits.select(F.lit(mode).alias("mode"), "query_id", "chunk_id", "rank")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query()
+@query(f"WITH {q.CHUNK} SELECT chunk_id, 768 AS dimension, CASE WHEN len({q.hash_tokens('embedding_text')}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM chunk")
 def j05_i19_hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """The hashed vector of each chunk by its length, which is 1 or 0."""
-    v = ix.hashed_embeddings(chunk_hits(spark, d))
+    """The hashed vector of each chunk by its length, which is 1, or 0 without tokens."""
+    v = ix.hashed_embeddings(texts(spark, d, "chunks").where("chunk_id is not null").select("chunk_id", "embedding_text").distinct())
     return v.select("chunk_id", F.size("embedding").alias("dimension"), F.round(hashing.norm(F.col("embedding")), 4).alias("norm"))
 
 
+@query(
+    f"""WITH {q.CHUNK}, tok AS ({_E18.format(t=q.sparse_tokens("embedding_text"))}),
+b AS (SELECT chunk_id, ('0x' || left(h, 6))::BIGINT % 768 AS bucket, CASE WHEN ('0x' || substring(h, 7, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM tok)
+SELECT chunk_id, bucket, sum(sign)::BIGINT AS value FROM b GROUP BY chunk_id, bucket HAVING sum(sign) <> 0"""
+)
+def j07_written_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The places of the written vectors that aren't zero."""
+    each = dense(spark, d).select("chunk_id", F.posexplode("embedding").alias("bucket", "value")).where("value != 0")
+    return each.select("chunk_id", F.col("bucket").cast("long").alias("bucket"), F.col("value").cast("long").alias("value"))
+
+
 # C, E, I, J: answers
 
 
@@ -351,26 +396,22 @@ SELECT {by}, any_value(n) AS answerable, round(sum(d5) / any_value(n), 6) AS doc
   round(sum(c10) / any_value(n), 6) AS chunk_hit_at_10, round(sum(rr) / any_value(n), 6) AS mrr_at_10 FROM scored, n GROUP BY {by}"""
 
 
-@query(
-    f"""WITH RECURSIVE {_BASE}, {_BM25}, {_PAIR}, {_RRF}, {_LEX}, {_heads('bm25', 'h1')}, {_heads('rrf', 'h2')}, {_heads('lex', 'h3')},
-{q.fold('k1', 'h1')}, {q.fold('k2', 'h2')}, {q.fold('k3', 'h3')},
-hit AS (SELECT *, 'bm25' AS mode FROM k1 WHERE rank <= 10 UNION ALL SELECT *, 'fused' FROM k2 WHERE rank <= 10 UNION ALL SELECT *, 'fused_rerank' FROM k3 WHERE rank <= 10),
-{_JUDGED.format(by="mode")}"""
-)
+@query(f"{_MODES}, {_JUDGED.format(by='mode')}")
 def k04_k06_e09_d09_f05_f06_retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Hit rates and reciprocal ranks of three modes over the same index."""
-    sparse = settled(bm25_hits(spark, d))
-    found = settled(payload(spark, d, retrieval.fused([("pairs", pair_hits(spark, d)), ("bm25", sparse)])))
-    lists = {"bm25": payload(spark, d, sparse), "fused": found, "fused_rerank": retrieval.lexical_rerank(found)}
+    """Hit rates and reciprocal ranks of all modes over the same index."""
+    cases = settled(asked(spark, d))
+    lists = {"bm25": settled(bm25_hits(spark, d)), "dense": settled(dense_hits(spark, d))}
+    fused = settled(payload(spark, d, retrieval.fused([("dense", lists["dense"]), ("bm25", lists["bm25"])])))
+    found = {mode: payload(spark, d, hits, mode) for mode, hits in lists.items()} | {"hybrid": fused, "hybrid_rerank": retrieval.lexical_rerank(fused)}
     hits = None
-    for mode, hit in lists.items():
+    for mode, hit in found.items():
         part = retrieval.deduplicated(hit, top=10).withColumn("mode", F.lit(mode))
         hits = part if hits is None else hits.unionByName(part)
-    return evaluation.retrieval_metrics(hits, asked(spark, d), ("mode",))
+    return evaluation.retrieval_metrics(hits, cases, ("mode",))
 
 
 @query(
-    f"""WITH RECURSIVE {_BASE}, {_BM25}, {_PAIR}, {_RRF}, {_BLEND.split("blend AS")[0].rstrip().rstrip(",")},
+    f"""WITH RECURSIVE {_BASE}, {_BM25}, {_DENSE}, {_RRF}, {_BLEND.split("blend AS")[0].rstrip().rstrip(",")},
 w AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS weight),
 again AS (SELECT query_id, weight, chunk_id, row_number() OVER (PARTITION BY query_id, weight ORDER BY round(weight * s + (1 - weight) * (n - rank + 1) / n, 6) DESC, rank) AS rank FROM model, w),
 head AS (SELECT a.query_id || '@' || weight AS run, a.chunk_id, c.doc_id, a.rank, left(coalesce(c.text, ''), 180) AS head FROM again a JOIN chunk c USING (chunk_id)),
@@ -548,13 +589,13 @@ def h05_e12_distinct_in_order(spark: SparkSession, d: str) -> DataFrame:
     return cases.select("question_id", F.array_join(F.array_distinct(tx.all_matches(F.col("question"), tx.TERM)), "|").alias("terms"))
 
 
-@query()
+@query("SELECT count(DISTINCT content_hash) AS n, count(DISTINCT content_hash) AS contents FROM manifest WHERE status_code < 400 AND content_hash IS NOT NULL")
 def l_first_seen_fetches(spark: SparkSession, d: str) -> DataFrame:
-    """The manifest as a stream of files: contents seen first, counted by source, all that is there processed once."""
+    """The manifest as a stream of files: each content is let through once, all that is there processed in one go."""
     path = scratch(spark)
     batch = table(spark, d, "manifest").withColumn("crawl_time", F.col("crawl_time").cast("timestamp"))
     batch.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(batch.schema).parquet(f"{path}/in")
     done = fetches.first_seen(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     done.awaitTermination()
-    return spark.read.schema(batch.schema).parquet(f"{path}/out").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("content_hash").alias("contents"))
+    return spark.read.schema(batch.schema).parquet(f"{path}/out").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("content_hash").alias("contents"))

@@ -101,24 +101,24 @@ def b01_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {q.CHUNK}, t AS (SELECT chunk_id, {q.sparse_tokens('embedding_text')} AS tokens FROM chunk) SELECT term, count(*) AS tf FROM (SELECT unnest(tokens) AS term FROM t) GROUP BY term")
-def b06_sparse_index(spark: SparkSession, d: str) -> DataFrame:
-    """The index tables written and read again: each term with its number of occurrences."""
+def b06_a12_sparse_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index tables written and opened again: each term with its number of occurrences."""
     path = scratch(spark)
     tokens = ix.tokens_of(chunk_hits(spark, d))
     entries = ix.postings(tokens)
     lengths = tokens.select("chunk_id", F.size("tokens").alias("dl"))
-    writers.sparse_index(entries, lengths, ix.term_stats(entries, ix.corpus(tokens)), path)
-    return spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("tf").alias("tf"))
+    writers.sparse_index(entries, lengths, ix.term_stats(entries, ix.corpus(tokens)), ix.corpus(tokens), path)
+    return ix.open_sparse_index(spark, path).entries.groupBy("term").agg(F.sum("tf").alias("tf"))
 
 
 @query("SELECT category, count(*) AS n FROM (SELECT DISTINCT ON (chunk_id) chunk_id, coalesce(metadata.category, 'unknown') AS category FROM chunks WHERE chunk_id IS NOT NULL) GROUP BY category")
-def b07_b08_vector_index(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks hashed to vectors, written by category with their payload and read again."""
+def b07_b08_a13_vector_index(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks hashed to vectors, written by category with their payload and opened again."""
     path = scratch(spark)
     chunks = chunk_hits(spark, d)
     payload = chunks.select("chunk_id", "doc_id", F.coalesce("metadata.category", F.lit("unknown")).alias("category"), "metadata.effective_year", "metadata.status")
     writers.vector_index(payload.join(ix.hashed_embeddings(chunks), "chunk_id"), path)
-    return spark.read.parquet(path).where("size(embedding) > 0").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return ix.open_vector_index(spark, path).where("size(embedding) > 0").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 # C: predicates and projections

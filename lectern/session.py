@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_KEPT: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +48,18 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def kept(spark: SparkSession, name: str, source: str, make: Callable[[str], None]) -> str:
+    """The folder of what make(folder) wrote, once in an application as long as the source isn't written anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = f"{spark.sparkContext.applicationId} {shared_folder(spark)} {name} {source} {status.getModificationTime()} {status.getLen()}"
+    if key not in _KEPT:
+        folder = scratch(spark)
+        make(folder)
+        _KEPT[key] = folder
+    return _KEPT[key]
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The frame computed once, as a compressed table in the shared folder.
 

@@ -120,6 +120,56 @@ def test_dense_search_is_exact(spark):
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
 
 
+@pytest.mark.parametrize("tile", [1, 64])
+def test_ties_of_dense_search_are_few(spark, monkeypatch, tile):
+    """Zero vectors and copies tie by the hundreds; each tile still gives no more than top_k of them, by key."""
+    monkeypatch.setattr(retrieval, "TILE", tile)
+    rows = [(f"k{i:03d}", [0.0, 0.0] if i % 2 else [1.0, 1.0]) for i in range(200)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("z", [0.0, 0.0])], "query_id string, embedding array<float>")
+    got = retrieval.dense_search(queries, vectors, top_k=4).orderBy("query_id", "rank").collect()
+    assert [r["chunk_id"] for r in got] == ["k000", "k002", "k004", "k006", "k000", "k001", "k002", "k003"]
+
+
+def test_written_index_is_searched_alike(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{chr(97 + i)}" for i in range(26)]
+    rows = [(f"c{i:03d}", " ".join(rng.choice(words, 8))) for i in range(120)]
+    tokens = indexing.tokens_of(spark.createDataFrame(rows, "chunk_id string, embedding_text string"))
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(words, 3))) for i in range(9)], "query_id string, question string")
+    entries, totals = indexing.postings(tokens), indexing.corpus(tokens)
+    assert indexing.open_sparse_index(spark, str(tmp_path / "i")) is None and indexing.open_vector_index(spark, str(tmp_path / "v")) is None
+    writers.sparse_index(entries, tokens.select("chunk_id", F.size("tokens").alias("dl")), indexing.term_stats(entries, totals), totals, str(tmp_path / "i"), buckets=5)
+    opened = indexing.open_sparse_index(spark, str(tmp_path / "i"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(retrieval.sparse_search(queries, tokens))
+    assert rows(retrieval.sparse_search(queries, opened)) == want
+    one = queries.limit(1)
+    plan = retrieval.sparse_search(one, opened, fill=False)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan and " IN " in plan
+    monkeypatch.setattr(retrieval, "REGISTRY_ROWS", -1)  # too many terms to broadcast
+    assert rows(retrieval.sparse_search(queries, opened)) == want
+
+
+def test_rerank_dispatch(spark):
+    df = spark.createDataFrame(
+        [("q", "图书馆开放时间", str(i), t, "", "library", 1.0, i, "bm25") for i, t in ((1, "无关内容"), (2, "图书馆 开馆时间 空间预约"))],
+        "query_id string, question string, chunk_id string, text string, title string, category string, score double, rank int, source string",
+    )
+    first = lambda d: d.orderBy("rank").first()["chunk_id"]
+    assert first(retrieval.rerank(df)) == first(retrieval.rerank(df, "unheard of")) == first(retrieval.rerank(df, "model")) == "2"
+    assert first(retrieval.rerank(df, "model", F.lit(1.0) - F.col("rank") / 10)) == "1"
+    assert retrieval.rerank(df.limit(0)).count() == retrieval.rerank(df.limit(0), "model", F.lit(1.0)).count() == 0
+
+
+def test_crawl_without_broadcast(spark, monkeypatch):
+    edges = spark.createDataFrame([("https://a.example/", f"https://a.example/p{i}") for i in range(40)] + [("https://a.example/p1", "https://a.example/q")], "parent string, url string")
+    source = spark.createDataFrame([("s", ["https://a.example/"], ["a.example"], [], 2, 100)], "source_id string, seed_urls array<string>, allowed_domains array<string>, excluded_patterns array<string>, crawl_depth int, max_pages int")
+    want = sorted(map(tuple, ingest.frontier(edges, source).collect()))
+    monkeypatch.setattr(ingest, "REGISTRY_ROWS", -1)
+    assert sorted(map(tuple, ingest.frontier(edges, source).collect())) == want and len(want) == 42
+
+
 def test_empty_index_and_unknown_mode(spark):
     chunks = spark.createDataFrame(
         [], "chunk_id string, doc_id string, text string, display_text string, embedding_text string, page_start int, metadata struct<title:string,url:string,category:string,effective_year:int>"
