@@ -92,6 +92,8 @@ _MARGINAL = re.compile(r"^\W*[©®↑▲△☰✉☎⌂»›←→]|\s[»›→]
 _CONTACT = re.compile(r"\d{3,}|\w@\w|X{3,}|^ {4}|\[[^\]]{3,}\]|联系|电话|邮箱|地点|时间|contact|phone|e-?mail|room\b|office hours|hours", re.I)
 #: Ideographs or words of a line that can still be a link; letters of sentences that make a page's matter (an ideograph is two).
 LINK_WIDE, LINK_WORDS, MATTER = 7, 5, 80
+#: Characters of a line that is too long for a margin.
+LONG = 120
 
 
 _ENDS = re.compile(r"[。.!！;；:：]\W*$")
@@ -109,6 +111,8 @@ def _items(line: str) -> int:
 
 
 def _link_like(line: str, key: str) -> bool:
+    if len(line) > LONG:
+        return False
     if _OPEN.search(line):
         return False
     if _MARGINAL.search(line) or _items(line) >= 2:
@@ -131,7 +135,9 @@ def _taken_up(key: str, rest: str) -> int:
 
 def _tells(b) -> bool:
     """Whether a line is matter by its form: long, or a sentence."""
-    if b.kind != TEXT or _MARGINAL.search(b.line) or _items(b.line) >= 2:
+    if b.kind != TEXT or len(b.line) > LONG:
+        return b.kind == TEXT
+    if _MARGINAL.search(b.line) or _items(b.line) >= 2:
         return False
     some = len(b.key) > LINK_WIDE if _CJK.search(b.line) else len(b.line.split()) > LINK_WORDS
     return len(b.key) >= 40 or (some and bool(_SENTENCE.search(b.line)))
