@@ -29,6 +29,8 @@ CAPACITY = 4096
 #: Rows (of some 40 bytes) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 SALTS = 16
+#: Counters of all sites that a partition holds at a time.
+MOST_COUNTERS = 2_000_000
 
 
 def line_values(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +93,18 @@ def _summaries(sited: DataFrame, capacity: int) -> DataFrame:
     def run(batches):
         counters: dict[str, dict[int, int]] = {}
         off: dict[str, int] = {}
+
+        def flushed():
+            rows = [(s, v, n) for s, own in counters.items() for v, n in own.items()] + [(s, None, n) for s, n in off.items()]
+            counters.clear()
+            off.clear()
+            for i in range(0, len(rows), 50_000):
+                s, v, n = zip(*rows[i : i + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["site", "value", "n"])
+
         for b in batches:
+            if sum(map(len, counters.values())) > MOST_COUNTERS:  # many sites in one partition: parts of a summary merge as well
+                yield from flushed()
             for site, values in zip(b.column(0).to_pylist(), b.column(1)):
                 own = counters.setdefault(site, {})
                 for v in set(values.values.to_numpy(zero_copy_only=False).tolist() if values.is_valid else ()):
@@ -100,10 +113,7 @@ def _summaries(sited: DataFrame, capacity: int) -> DataFrame:
                     least = sorted(own.values(), reverse=True)[capacity]
                     off[site] = off.get(site, 0) + least
                     counters[site] = {v: n - least for v, n in own.items() if n > least}
-        rows = [(s, v, n) for s, own in counters.items() for v, n in own.items()] + [(s, None, n) for s, n in off.items()]
-        for i in range(0, len(rows), 50_000):
-            s, v, n = zip(*rows[i : i + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["site", "value", "n"])
+        yield from flushed()
 
     schema = T.StructType([T.StructField("site", T.StringType()), T.StructField("value", T.LongType()), T.StructField("n", T.LongType())])
     return sited.select("site", "values").mapInArrow(run, schema)
@@ -115,6 +125,14 @@ def sited_lines(docs: DataFrame, manifest: DataFrame, id_col: str = "doc_id", re
     return settled(_lines(docs, id_col, ref_col, text_col).join(site, "_ref").select("site", id_col, "numbers", "values"))
 
 
+def _by_site(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (with a value) joined with what is known of their site: sites are broadcast while they are few, and dealt out by value beyond, as one may be very large."""
+    if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(sizes), "site")
+    salted = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")).join(salted, ["site", "_salt"]).drop("_salt")
+
+
 def repeated(sited: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, capacity: int = CAPACITY) -> DataFrame:
     """(site, value, n_docs, n_site) of the wordings in at least least_docs and least_share of a site's documents.
 
@@ -126,14 +144,14 @@ def repeated(sited: DataFrame, least_docs: int = LEAST_DOCS, least_share: float
     summary = settled(summary)
     off = summary.where("value is null").select("site", F.col("n").alias("off"))
     sizes = settled(sizes.join(off, "site", "left").withColumn("off", F.coalesce("off", F.lit(0))))
-    bound = summary.where("value is not null").join(sizes.where("off < need"), "site")
+    bound = _by_site(summary.where("value is not null"), sizes.where("off < need"))
     candidates = settled(bound.where("n + off >= need").select("site", "value"))
     if candidates.count() <= BROADCAST_ROWS:
         candidates = F.broadcast(candidates)
     each = sited.select("site", F.explode(F.array_distinct("values")).alias("value"))
-    rows = each.join(candidates, ["site", "value"], "left_semi").unionByName(each.join(sizes.where("off >= need").select("site"), "site", "left_semi"))
+    rows = each.join(candidates, ["site", "value"], "left_semi").unionByName(_by_site(each, sizes.where("off >= need").select("site")))
     counted = rows.groupBy("site", "value").agg(F.count(F.lit(1)).alias("n_docs"))
-    return counted.join(sizes, "site").where("n_docs >= need").select("site", "value", "n_docs", "n_site")
+    return _by_site(counted, sizes).where("n_docs >= need").select("site", "value", "n_docs", "n_site")
 
 
 def repeated_lines(sited: DataFrame, confirmed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -159,9 +177,11 @@ def found_lines(docs: DataFrame, manifest: DataFrame, id_col: str = "doc_id", re
 def without_lines(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) of every document, the given lines (id, line_no) taken out; null texts stay null."""
     drop = lines.groupBy(id_col).agg(F.collect_set("line_no").alias("_drop"))
-    kept = F.filter(F.split("_text", "\n", -1), lambda _, i: ~F.array_contains("_drop", i + 1))
+    kept = F.array_except(F.sequence(F.lit(1), F.size("_lines")), "_drop")
+    left = F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i)), "\n")
     return (
         docs.select(id_col, F.col(text_col).alias("_text"))
         .join(drop, id_col, "left")
-        .select(id_col, F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")).alias(text_col))
+        .withColumn("_lines", F.split("_text", "\n", -1))
+        .select(id_col, F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(left).alias(text_col))
     )
