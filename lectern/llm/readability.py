@@ -140,7 +140,7 @@ def body_text(text: str | None, title: str | None) -> str | None:
 class Model:
     grades: np.ndarray  # float32, of each hashed term; nan where unknown
     easy: np.ndarray  # bool, whether a hashed term is familiar
-    fits: dict  # (wide, formula) -> weights of the formula and of the cubic that maps it to the scale
+    fits: dict  # (wide, formula) -> weights of the formula, and the two rows of the curve that maps it to the scale
 
     def inputs(self, m: Measures) -> dict[str, list[float]]:
         grades = self.grades[m.terms]
@@ -154,8 +154,8 @@ class Model:
         for name, x in self.inputs(m).items():
             fit = self.fits.get((m.wide, name))
             if fit is not None and not np.isnan(x).any():
-                linear, cubic = fit
-                out[name] = float(np.clip(np.polyval(cubic, np.dot(linear, [1.0, *x])), 1.0, 5.0))
+                linear, (at, level) = fit
+                out[name] = float(np.interp(np.dot(linear, [1.0, *x]), at, level))
         return out
 
 
@@ -249,11 +249,20 @@ def fit(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_RATED) -> Mo
         a = np.array([[1.0, *x] for x, _ in values])
         y = np.array([g for _, g in values])
         linear = np.linalg.lstsq(a, y, rcond=None)[0]
-        p = a @ linear
-        model.fits[key] = (linear, np.polyfit(p, y, 3 if len(values) >= 40 and np.ptp(p) > 0.5 else 1))
+        model.fits[key] = (linear, _curve(a @ linear, y))
     return model
 
 
+def _curve(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, levels) of the curve from a formula to the scale: a cubic through the ratings (a line if they are few or alike), made never to fall."""
+    middle, width = p.mean(), np.ptp(p) / 2 or 1.0
+    x = (p - middle) / width
+    degree = min(3 if len(p) >= 40 and np.ptp(p) > 0.5 else 1, len(np.unique(np.round(x, 3))) - 1)
+    at = np.linspace(x.min(), x.max(), 65)
+    level = np.maximum.accumulate(np.polyval(np.polyfit(x, y, degree), at))
+    return at * width + middle, np.clip(level, 1.0, 5.0)
+
+
 def levels(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = "title") -> DataFrame:
     """(id, grade, level, flesch, dale_chall, graded): grade is the median estimate, level the grade rounded.
 
