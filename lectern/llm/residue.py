@@ -61,12 +61,12 @@ _FILLER = frozenset(FILLER_WORDS)
 _FILLER_PHRASE = re.compile(
     r"占位(?:文本|文字|内容)|样例段落|示例(?:文本|段落)|段落文字|在此(?:输入|添加)|测试测试|(?:正文){3}|replace this text|your (?:own )?text here|text goes here"
     r"|sample (?:paragraph|text)|placeholder (?:text|content)|lorem ipsum",
-    re.I,
 )
-_MARKS = frozenset("{%_«<[【X")
+_MARKS = re.compile(r"[{%_«<\[【X]")
 _UNIT = re.compile(r"[^。.!!??,,、;;\s]+")
 _LOOPED = re.compile(r"(.{2,12}?)[。.,, ]?(?:\1[。.,, ]?){3,}")
 
+#: On lines in lower case.
 _NOTICES = re.compile(
     r"^\W*(?:http\s*)?[45]\d\d\s*(?:[-:]\s*)?(?:页面|网关|服务|禁止|资源|请求|内部|错误|未找到|无法|not found|forbidden|bad |gateway|internal|service|gone|unavailable|error|unauthorized)"
     r"|错误代码\s*\d|(?:操作失败|出错了|系统提示|系统错误|访问出错|页面不存在)\W*$|something went wrong|service unavailable|query failed near|request id \w|stack trace"
@@ -80,21 +80,22 @@ _NOTICES = re.compile(
     r"|建设中|敬请期待|正在更新|coming soon|under construction|more to come|即将上线|content (?:to follow|pending)|暂无内容|页面维护|正在维护|系统(?:维护|升级)中|网站(?:维护|升级)中|访问被拒绝|权限不足|(?:没有|无)(?:查看|访问)?权限|会话(?:已)?(?:过期|超时)|网络(?:异常|错误)|服务(?:异常|不可用)|(?:文件|资源|页面|网页)(?:不存在|丢失|已失效)|链接已(?:失效|过期)|此处内容"
     r"|access denied|permission denied|timed? ?out|bad request|unexpected error|error (?:has )?occurred|verify (?:that )?you are|are you (?:a )?(?:human|robot)|cannot be displayed"
     r"|(?:has been|was) (?:removed|deleted|moved)|no longer available|does not exist|(?:database|internal|server) error|stay tuned|under maintenance|temporarily unavailable|nothing (?:here|to see)",
-    re.I,
 )
 _QUOTES = re.compile(r"[“\"「『‘][^“”\"「」『』‘’]{1,60}[”\"」』’]|(?<=\s)'[^']{1,60}'(?=[\s,.;])")
 #: A notice line says little besides; matter that mentions a notice is longer.
 NOTICE_CHARS = 90
 
 
-def _filler(line: str) -> bool:
+def _filler(line: str, low: str) -> bool:
+    if len(set(line[:120])) > 45:
+        return False
     letters = set(line)
     if len(letters) > 45:  # what repeats itself makes do with few characters
         return False
-    phrase = _FILLER_PHRASE.search(line)
-    if phrase and (len(line) <= 120 or line.count(phrase.group(0)) >= 3):
+    phrase = _FILLER_PHRASE.search(low)
+    if phrase and (len(line) <= 120 or low.count(phrase.group(0)) >= 3):
         return True
-    words = line.lower().split()
+    words = low.split()
     if len(words) >= 8 or not page._CJK.search(line):  # words set apart by spaces
         names = [w.strip(".,;:!?()") for w in words]
         if len(names) >= 2 and sum(w in _FILLER for w in names) >= 0.5 * len(names):
@@ -117,11 +118,12 @@ def _teaches(line: str) -> bool:
 def kind_of(line: str) -> str | None:
     """placeholder, filler, notice or None: what a folded line of the matter is a remnant of."""
     line = line.strip()
-    if not _MARKS.isdisjoint(line) and _PLACEHOLDER.search(line) and _PLACEHOLDER.search(_QUOTED.sub(" ", line)) and not _teaches(line):
+    if _MARKS.search(line) and _PLACEHOLDER.search(line) and _PLACEHOLDER.search(_QUOTED.sub(" ", line)) and not _teaches(line):
         return "placeholder"
-    if len(line) <= NOTICE_CHARS and _NOTICES.search(line) and _NOTICES.search(_QUOTES.sub(" ", line)):
+    low = line.lower()
+    if len(line) <= NOTICE_CHARS and _NOTICES.search(low) and _NOTICES.search(_QUOTES.sub(" ", low)):
         return "notice"
-    return "filler" if _filler(line) else None
+    return "filler" if _filler(line, low) else None
 
 
 def _code(blocks: list[page.Block]) -> list[bool]:
