@@ -90,6 +90,21 @@ def new_fetches(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return first(first(fresh, "url"), "content_hash")
 
 
+def numbered(rows: DataFrame, by: str, time: str, *ties: str) -> DataFrame:
+    """Rows with n, counted from 0 within ``by`` in order of time, then ties.
+
+    Numbers are taken within an hour and added to what came before, so that no task orders all rows of a large group.
+    """
+    slot = F.date_trunc("hour", F.col(time)).alias("_slot")
+    hours = rows.select(F.col(by).alias("_by"), slot).groupBy("_by", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("_by").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    hours = small(settled(hours.select("_by", "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))))
+    within = F.row_number().over(W.partitionBy(by, "_slot").orderBy(time, *ties))
+    each = rows.withColumn("_slot", slot).withColumn("_within", within)
+    same = F.col(by).eqNullSafe(F.col("_by")) & each["_slot"].eqNullSafe(hours["_slot"])
+    return each.join(hours, same).select(*rows.columns, (F.col("_before") + F.col("_within") - 1).alias("n"))
+
+
 def upserted(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """Current rows replaced by the last change of their key, and the changes of new keys; changes without a key are dropped."""
     known = changes.where(F.col(key).isNotNull())

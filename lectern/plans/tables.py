@@ -121,6 +121,80 @@ def b07_b08_a13_vector_index(spark: SparkSession, d: str) -> DataFrame:
     return ix.open_vector_index(spark, path).where("size(embedding) > 0").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT doc_ref, title, md5(text) AS digest, metadata::VARCHAR IS NOT NULL AS known FROM documents")
+def b02_overwritten_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents written as JSON lines over an older copy, and read again with their schema."""
+    path = scratch(spark)
+    docs = table(spark, d, "documents").withColumn("doc_id", F.col("doc_ref"))
+    writers.json_lines(docs.limit(1), path)
+    writers.json_lines(docs, path)
+    return readers.documents(spark, path).select(F.col("doc_id").alias("doc_ref"), "title", F.md5("text").alias("digest"), F.col("metadata").isNotNull().alias("known"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(title) ELSE title END AS title FROM documents UNION ALL SELECT -1 - doc_id, title FROM documents WHERE doc_id % 3 = 1")
+def b04_upserted_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches put into the versioned sink: all documents, then changes of a third and as many new ones."""
+    from lectern.streaming import fetches
+
+    path = scratch(spark)
+    docs = table(spark, d, "documents").select("doc_id", "title", F.lit(1).alias("at"))
+    changed = docs.where("doc_id % 3 = 0").withColumns({"title": F.upper("title"), "at": F.lit(2)})
+    write = fetches.upsert_into(path, "doc_id", "at", buckets=8)
+    write(docs, 0)
+    write(changed.unionByName(docs.where("doc_id % 3 = 1").withColumn("doc_id", -1 - F.col("doc_id"))), 1)
+    return fetches.latest(spark, path).select("doc_id", "title")
+
+
+@query(
+    f"""WITH f AS (SELECT source_id, url, row_number() OVER (PARTITION BY source_id ORDER BY crawl_time, url, doc_id) - 1 AS n, sha256(url) AS h,
+  CASE WHEN {PDF_SQL} THEN '.pdf' WHEN lower(trim(split_part(mime_type, ';', 1))) = 'text/plain' THEN '.txt' ELSE '.html' END AS ext FROM manifest WHERE status_code < 400 AND url IS NOT NULL AND source_id IS NOT NULL)
+SELECT source_id, CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END || '_' || left(h, 16) || ext AS file, url FROM f"""
+)
+def b05_raw_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies (here the bytes of the urls) saved under their file names, in order of the crawl, and read again."""
+    path = scratch(spark)
+    fetches = ingest.fetched(_manifest(spark, d)).where("url is not null and source_id is not null")
+    saved = ingest.numbered(fetches, "source_id", "crawl_time", "url", "doc_id")
+    body = F.encode("url", "utf-8")
+    writers.raw_bytes(saved.select("source_id", "n", F.sha2(body, 256).alias("content_hash"), urls.extension(F.col("url"), F.col("mime_type")).alias("extension"), body.alias("body")), path)
+    return spark.read.parquet(path).select("source_id", "file", F.decode("body", "utf-8").alias("url"))
+
+
+_ASCII = "left(regexp_replace(coalesce({t}, ''), '[^A-Za-z0-9 ]', '', 'g'), 60)"
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, trim({_ASCII.format(t="title")}) AS a, trim({_ASCII.format(t="source_url")}) AS b FROM documents)
+SELECT doc_id, 'T' || doc_id AS title, trim(CASE WHEN a = '' THEN '' ELSE '[PDF_PAGE 1]' || chr(10) || a END || CASE WHEN a <> '' AND b <> '' THEN chr(10) || chr(10) ELSE '' END
+  || CASE WHEN b = '' THEN '' ELSE '[PDF_PAGE 2]' || chr(10) || b || chr(10) || 'end' END || CASE WHEN b = '' THEN CASE WHEN a = '' THEN '' ELSE chr(10) || chr(10) END || '[PDF_PAGE 2]' || chr(10) || 'end' ELSE '' END) AS text,
+  2 AS page_count FROM p"""
+)
+def a11_pdf_text(spark: SparkSession, d: str) -> DataFrame:
+    """A PDF file of two pages made of each document's title and address, read back with its page marks."""
+    plain = lambda c: F.trim(F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9 ]", ""), 1, 60))
+    page = "{n} 0 obj << /Type /Page /Parent 2 0 R /Contents {c} 0 R >> endobj "
+    stream = lambda n, *parts: F.concat(F.lit(f"{n} 0 obj << /Length 99 >> stream\nBT /F1 12 Tf 72 700 Td "), *parts, F.lit(" ET\nendstream endobj "))
+    file = F.concat(
+        F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [4 0 R 3 0 R] /Count 2 >> endobj "),
+        F.lit(page.format(n=3, c=5) + page.format(n=4, c=6)),
+        stream(5, F.lit("("), plain(F.col("source_url")), F.lit(") Tj T* [(e) -20 (nd)] TJ")), stream(6, F.lit("("), plain(F.col("title")), F.lit(") Tj")),
+        F.lit("7 0 obj << /Title (T"), F.col("doc_id"), F.lit(") >> endobj trailer << /Root 1 0 R /Info 7 0 R >>"),
+    )
+    files = table(spark, d, "documents").select("doc_id", F.encode(file, "utf-8").alias("content"))
+    return readers.pdf_files(files, "doc_id", "content").where("error is null").select("doc_id", "title", "text", "page_count")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(title, '[&<>]', ' ', 'g'), ' '), lambda x: trim(x)), lambda x: x <> '') AS words FROM documents WHERE title IS NOT NULL)
+SELECT doc_id, 'head' || CASE WHEN len(words) > 0 THEN chr(10) || array_to_string(list_transform(words, lambda w: '- ' || w), chr(10)) ELSE '' END || chr(10) || 'a    | b' || chr(10) || 'long | c' AS text FROM l"""
+)
+def i07_rendered_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Markup as an interface gives it, made of the titles' words: a heading, a list and a table, rendered."""
+    words = F.filter(F.transform(F.split(F.regexp_replace("title", "[&<>]", " "), " "), lambda x: F.trim(x)), lambda x: x != "")
+    markup = F.concat(F.lit("<h1>head</h1><script>no</script><ul>"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("<li>"), w)), ""), F.lit("</ul><table><tr><td>a<td>b<tr><td>long<td>c</table>"))
+    return readers.rendered(table(spark, d, "documents").where("title is not null").select("doc_id", markup.alias("m")), "doc_id", "m")
+
+
 # C: predicates and projections
 
 

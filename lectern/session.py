@@ -77,26 +77,3 @@ def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """
     df, cores = table(spark, folder, name), spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
-
-
-#: Bytes of input for each core under which a table of few files is spread over the cores.
-SPREAD_BYTES = 32 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The frame dealt out to all cores if it is read from fewer files than there are cores, and those are small.
-
-    A small file is one row group and would keep one core busy while the others wait.  Larger tables stay as they are
-    read: they have enough splits, and their texts aren't shuffled.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df._jdf.inputFiles()
-    if not 0 < len(files) < cores:
-        return df
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    size = 0
-    for f in files:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        size += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return df.repartition(2 * cores) if size < SPREAD_BYTES * cores else df

@@ -23,6 +23,13 @@ def overwrite(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("overwrite").format(kind).save(path)
 
 
+def raw_bytes(fetches: DataFrame, path: str) -> None:
+    """Bodies (source_id, n, content_hash, extension, body) as a table with a folder for each source, each under its file name."""
+    name = F.concat(F.lpad(F.col("n").cast("string"), 4, "0"), F.lit("_"), F.substring("content_hash", 1, 16), F.col("extension"))
+    name = F.when(F.col("n") < 10_000, name).otherwise(F.concat(F.col("n").cast("string"), F.lit("_"), F.substring("content_hash", 1, 16), F.col("extension")))
+    fetches.select("source_id", name.alias("file"), "body").write.mode("overwrite").partitionBy("source_id").parquet(path)
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 

@@ -403,18 +403,42 @@ def test_small_tables_only_are_broadcast(spark):
     assert hinted(ingest.small(df, 10)) and not hinted(ingest.small(df, 9))
 
 
-def test_few_small_files_are_dealt_out(spark, tmp_path):
-    from lectern.session import settled, spread
-
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    df = spark.read.parquet(str(tmp_path / "one"))
-    assert spread(df).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
-    literal = spark.createDataFrame([(1,)], "id long")
-    assert spread(literal) is literal
-    kept = settled(df.where("id < 5"))
+def test_few_partitions_are_dealt_out(spark, tmp_path):
+    from lectern.session import settled, texts
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    spark.range(100).repartition(4 * cores).write.parquet(str(tmp_path / "many.parquet"))
+    one, many = (texts(spark, str(tmp_path), name) for name in ("one", "many"))
+    assert one.rdd.getNumPartitions() == 2 * cores and one.count() == 100
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString() or many.rdd.getNumPartitions() >= cores
+    kept = settled(one.where("id < 5"))
     assert kept.count() == 5 and "lectern-" in kept.inputFiles()[0]
 
 
+def test_numbers_go_on_over_the_hours(spark):
+    rows = [("a", f"2024-01-01 0{h}:{m:02d}:00", f"u{h}{m}") for h in range(4) for m in range(0, 60, 20)] + [("b", None, "x"), ("b", "2024-01-01 00:00:00", "y"), (None, "2024-01-01 00:00:00", "z")]
+    df = spark.createDataFrame(rows, "s string, t string, u string").withColumn("t", F.col("t").cast("timestamp"))
+    got = {(r["s"], r["u"]): r["n"] for r in ingest.numbered(df.repartition(5), "s", "t", "u").collect()}
+    assert [got["a", r[2]] for r in rows[:12]] == list(range(12)) and (got["b", "x"], got["b", "y"], got[None, "z"]) == (0, 1, 0)
+
+
+def test_pdf_files(spark):
+    import zlib
+
+    page = "BT (A \\(b\\) \\101) Tj 0 -14 Td [(two)-300(words)] TJ T* <FEFF4E2D6587> Tj ET".encode()
+    flat = zlib.compress(page)
+    made = (
+        b"%%PDF-1.5\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Type/Pages/Kids[3 0 R 8 0 R]/Count 2>> endobj "
+        b"3 0 obj <</Type/Page/Contents[4 0 R 5 0 R]>> endobj 4 0 obj <</Filter/FlateDecode/Length %d>> stream\n%b\nendstream endobj " % (len(flat), flat)
+        + b"5 0 obj <</Length 9>> stream\nBT (more) ' ET\nendstream endobj 8 0 obj <</Type/Page>> endobj"
+    )
+    rows = [(1, made), (2, b"nothing of the kind"), (3, made + b" trailer <</Encrypt 9 0 R>>"), (4, None)]
+    got = {r["k"]: r for r in readers.pdf_files(spark.createDataFrame(rows, "k int, c binary"), "k", "c").collect()}
+    assert got[1]["text"] == "[PDF_PAGE 1]\nA (b) A\ntwo words\n中文\nmore" and (got[1]["page_count"], got[1]["title"]) == (2, None)
+    assert got[2]["error"] == got[3]["error"] == "ValueError" and got[4]["text"] is None is got[4]["error"]
+
+
 def test_one_hot_hash_is_no_hot_group(spark):
     """A third of all fetches with one hash: the first is found by partial aggregation, not in one sorted group."""
     rows = [(f"d{i}", f"u{i}", "hot" if i % 3 == 0 else f"h{i}", f"{i:05d}") for i in range(900)]
