@@ -112,10 +112,9 @@ def upserted(current: DataFrame, changes: DataFrame, key: str, order: str) -> Da
     return current.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
-def _linked(pages: DataFrame, links: DataFrame) -> DataFrame:
+def _linked(pages: DataFrame, links: DataFrame, few: bool) -> DataFrame:
     """Pages joined with their links.  Few pages are broadcast; else the links of each page are dealt out, as a home page may have very many."""
-    pages = settled(pages)
-    if pages.limit(REGISTRY_ROWS + 1).count() <= REGISTRY_ROWS:
+    if few:
         return links.join(F.broadcast(pages), "parent")
     salted = pages.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LINK_SALTS - 1))))
     return links.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(LINK_SALTS)).cast("int")).join(salted, ["parent", "_salt"])
@@ -148,7 +147,7 @@ def frontier(edges: DataFrame, sources: DataFrame) -> DataFrame:
             .withColumnRenamed("url", "parent")
         )
         step = (
-            _linked(pages, links)
+            _linked(pages, links, last.limit(REGISTRY_ROWS + 1).count() <= REGISTRY_ROWS)
             .where(urls.allowed(F.col("url"), F.col("allowed_domains"), F.col("excluded_patterns")))
             .select("source_id", "url")
             .distinct()

@@ -45,7 +45,7 @@ def sparse(spark: SparkSession, d: str) -> ix.SparseIndex:
     def make(path: str) -> None:
         tokens = settled(ix.tokens_of(chunk_table(spark, d)))
         entries, totals = settled(ix.postings(tokens)), ix.corpus(tokens)
-        writers.sparse_index(entries, tokens.select("chunk_id", F.size("tokens").alias("dl")), ix.term_stats(entries, totals), totals, path)
+        writers.sparse_index(entries, tokens.select("chunk_id", F.size("tokens").alias("dl")), ix.term_stats(entries, totals), totals, path, buckets=16, parts=2)
 
     return ix.open_sparse_index(spark, kept(spark, "sparse", f"{d}/chunks.parquet", make))
 
@@ -151,7 +151,7 @@ def k02_c21_e13_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BASE}, {_BM25.split('bm25_q AS')[0].rstrip().rstrip(',')} SELECT term, df, round(idf, 6) AS idf FROM bm25_idf")
 def e01_j01_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    tokens = settled(ix.tokens_of(chunk_hits(spark, d)))
+    tokens = settled(ix.tokens_of(chunk_table(spark, d)))
     return ix.term_stats(settled(ix.postings(tokens)), ix.corpus(tokens)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -186,7 +186,7 @@ SELECT chunk_id, bucket, sum(sign)::BIGINT AS value FROM b GROUP BY chunk_id, bu
 )
 def e18_bucket_sums(spark: SparkSession, d: str) -> DataFrame:
     """Signed sums of hashed tokens by bucket (hashed by MD5 here, so that SQL can say the same)."""
-    tokens = ix.tokens_of(chunk_hits(spark, d)).select("chunk_id", F.explode("tokens").alias("term"))
+    tokens = ix.tokens_of(chunk_table(spark, d)).select("chunk_id", F.explode("tokens").alias("term"))
     h = F.md5("term")
     number = lambda a, n: F.conv(F.substring(h, a, n), 16, 10).cast("long")
     return (
@@ -516,7 +516,7 @@ UNION ALL SELECT 'q' || lpad(n::VARCHAR, 3, '0'), NULL, split, {q.literal(CAMPUS
   FROM (SELECT n, 'test' AS split FROM open UNION ALL SELECT n, CASE WHEN n <= 15 THEN 'dev' WHEN n <= 75 THEN 'test' ELSE 'demo' END FROM open WHERE n <= 85)"""
 )
 def k03_f10_f11_f12_generated_cases(spark: SparkSession, d: str) -> DataFrame:
-    made = evaluation.generated_cases(chunk_hits(spark, d))
+    made = evaluation.generated_cases(chunk_table(spark, d))
     return made.select("question_id", F.get("relevant_chunk_ids", F.lit(0)).alias("chunk_id"), "split_name", "reference_answer", "type")
 
 
@@ -534,7 +534,7 @@ def k10_d12_g09_corpus_report(spark: SparkSession, d: str) -> DataFrame:
 SELECT 'documents' AS "check", d AS n, d > 100 AS passed FROM n UNION ALL SELECT 'chunks', c, c > 500 FROM n UNION ALL SELECT 'indexed', c, true FROM n"""
 )
 def k11_c25_health(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.health(table(spark, d, "documents"), table(spark, d, "chunks"), ix.tokens_of(chunk_hits(spark, d)))
+    return evaluation.health(table(spark, d, "documents"), table(spark, d, "chunks"), ix.tokens_of(chunk_table(spark, d)))
 
 
 @query(

@@ -104,10 +104,10 @@ def b01_snapshot(spark: SparkSession, d: str) -> DataFrame:
 def b06_a12_sparse_index(spark: SparkSession, d: str) -> DataFrame:
     """The index tables written and opened again: each term with its number of occurrences."""
     path = scratch(spark)
-    tokens = ix.tokens_of(chunk_hits(spark, d))
-    entries = ix.postings(tokens)
+    tokens = settled(ix.tokens_of(chunk_hits(spark, d)))
+    entries = settled(ix.postings(tokens))
     lengths = tokens.select("chunk_id", F.size("tokens").alias("dl"))
-    writers.sparse_index(entries, lengths, ix.term_stats(entries, ix.corpus(tokens)), ix.corpus(tokens), path)
+    writers.sparse_index(entries, lengths, ix.term_stats(entries, ix.corpus(tokens)), ix.corpus(tokens), path, buckets=16, parts=2)
     return ix.open_sparse_index(spark, path).entries.groupBy("term").agg(F.sum("tf").alias("tf"))
 
 
@@ -204,7 +204,7 @@ def _manifest(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_hits(spark: SparkSession, d: str) -> DataFrame:
     """Chunks, each once."""
-    return ingest.once(table(spark, d, "chunks").where("chunk_id is not null"), "chunk_id")
+    return ingest.once(texts(spark, d, "chunks").where("chunk_id is not null"), "chunk_id")
 
 
 @query(

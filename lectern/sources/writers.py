@@ -43,11 +43,11 @@ def csv_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def sparse_index(postings: DataFrame, doc_lengths: DataFrame, term_stats: DataFrame, totals: DataFrame, path: str, buckets: int = 64) -> None:
-    """The tables of a BM25 index; postings lie in hash buckets of their term, so that a search reads few of them."""
+def sparse_index(postings: DataFrame, doc_lengths: DataFrame, term_stats: DataFrame, totals: DataFrame, path: str, buckets: int = 64, parts: int = 8) -> None:
+    """The tables of a BM25 index; postings lie in hash buckets of their term, each of ``parts`` files, so that a search reads few of them."""
     bucketed = postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
     # a frequent term's entries are spread over several files of its bucket
-    bucketed.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    bucketed.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     doc_lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
     totals.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
     term_stats.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
