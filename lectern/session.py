@@ -53,7 +53,7 @@ def kept(spark: SparkSession, name: str, source: str, make: Callable[[str], None
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
     status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
     key = f"{spark.sparkContext.applicationId} {shared_folder(spark)} {name} {source} {status.getModificationTime()} {status.getLen()}"
-    if key not in _KEPT:
+    if key not in _KEPT or not folders(spark, f"{_KEPT[key]}/*"):  # somebody may have cleared the folder
         folder = scratch(spark)
         make(folder)
         _KEPT[key] = folder
