@@ -445,3 +445,55 @@ def test_one_hot_hash_is_no_hot_group(spark):
     got = ingest.new_fetches(fetches(spark, rows), fetches(spark, rows[:0]))
     assert got.count() == 601 and got.where("content_hash = 'hot'").first()["doc_id"] == "d0"
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("tile, block, common", [(1, 4096, 64), (50, 2, 1), (4_000_000, 4096, 2)])
+def test_scanned_search_gives_only_the_best(spark, monkeypatch, tile, block, common):
+    """Chunks are scored where they are read: no pair of a query and a chunk is shuffled or summed up but the best; ties by chunk_id."""
+    for name, v in (("TILE", tile), ("QUERY_BLOCK", block), ("COMMON", common)):
+        monkeypatch.setattr(retrieval, name, v)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), 4)) + (" the" if i % 9 else "") for i in range(150)] + [None, ""]
+    chunks = spark.createDataFrame([(f"c{i:03d}", t) for i, t in enumerate(texts)], "chunk_id string, embedding_text string").repartition(3)
+    asked = {"q1": "a b", "q2": "the c c", "q3": "unheard", "q4": "the", "q5": "d the h"}
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, question string")
+    lists = [(t or "").split() for t in texts]
+    n, mean = len(lists), sum(map(len, lists)) / len(lists)
+    df = {t: sum(t in x for x in lists) for t in {t for x in lists for t in x}}
+    raw = {t: np.log(n - x + 0.5) - np.log(x + 0.5) for t, x in df.items()}
+    idf = {t: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, x in raw.items()}
+    for fill in (True, False):
+        found = retrieval.sparse_search(queries, indexing.tokens_of(chunks), top_k=7, fill=fill)
+        assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in found.collect())
+        want = []
+        for q, text in asked.items():
+            hits = {}
+            for i, x in enumerate(lists):
+                if met := [t for t in text.split() if t in x]:
+                    hits[f"c{i:03d}"] = round(sum(idf[t] * x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / mean)) for t in met), 6)
+                elif fill and i < 14:
+                    hits[f"c{i:03d}"] = 0.0
+            best = sorted(hits.items(), key=lambda h: (-h[1], h[0]))[:7]
+            want += [(q, k + 1, c, s) for k, (c, s) in enumerate(best)]
+        assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
+
+
+def test_vectors_of_a_batch_equal_those_of_each_list():
+    import pyarrow as pa
+
+    lists = [["x"], None, [], ["a", "b", "a", "研"], ["y", "x"]]
+    for by, normed in (("md5", False), ("blake2b", True)):
+        made = hashing.vectors(pa.array(lists, pa.list_(pa.string())).slice(1), 16, by, normed).to_pylist()
+        one = lambda t: (hashing.hashed_vector if normed else hashing.bucket_sums)(t or (), 16, by).astype("float32").tolist()
+        assert made == [one(t) for t in lists[1:]]
+
+
+def test_lexical_scores_stay_with_their_hit(spark):
+    """The terms of a hit's text are counted where it is: only the ranking shuffles."""
+    rows = [("q", "bb 图书馆 bb", "1", "BB bb bb 图书馆 图书", "BB", "x", 10.0, 1, "bm25"), ("q", "bb 图书馆 bb", "2", None, None, None, 8.0, 2, "bm25")]
+    df = spark.createDataFrame(rows, "query_id string, question string, chunk_id string, text string, title string, category string, score double, rank int, source string")
+    got = retrieval.lexical_rerank(df)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+    # shared: bb twice, two pairs of characters once each; the title holds bb
+    assert {r["chunk_id"]: r["score"] for r in got.collect()} == {"1": 2 * 4 + 2.5 + 0.5, "2": 0.4}
