@@ -497,3 +497,17 @@ def test_lexical_scores_stay_with_their_hit(spark):
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
     # shared: bb twice, two pairs of characters once each; the title holds bb
     assert {r["chunk_id"]: r["score"] for r in got.collect()} == {"1": 2 * 4 + 2.5 + 0.5, "2": 0.4}
+
+
+def test_modes_share_lists_found_before(spark, monkeypatch):
+    """Lists that were searched before serve every mode; nothing is searched or embedded again."""
+    rows = [(f"c{i}", "d", t, t, t, 1, None) for i, t in enumerate(["alpha", "alpha beta", "gamma"])]
+    chunks = spark.createDataFrame(
+        rows, "chunk_id string, doc_id string, text string, display_text string, embedding_text string, page_start int, metadata struct<title:string,url:string,category:string,effective_year:int>"
+    )
+    queries = spark.createDataFrame([("q", "alpha")], "query_id string, question string")
+    listed = {n: spark.createDataFrame([("q", c, 1.0, 1)], "query_id string, chunk_id string, score double, rank int") for n, c in (("dense", "c2"), ("bm25", "c0"))}
+    for name in ("dense_search", "sparse_search"):
+        monkeypatch.setattr(retrieval, name, lambda *a, **k: pytest.fail("searched again"))
+    got = {m: sorted(values(retrieval.retrieve(m, queries, chunks, found=listed), "chunk_id")) for m in retrieval.MODES}
+    assert got == {"bm25": ["c0"], "dense": ["c2"], "hybrid": ["c0", "c2"], "hybrid_rerank": ["c0", "c2"]}
