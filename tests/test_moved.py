@@ -7,11 +7,13 @@ import string
 import pytest
 
 import __spark_entry__ as entry
+from lectern.operators import retrieval
 from lectern.plans import search
 
 FOLDER = "/root/testdata/sf0.001"
 SEARCHES = (
     "j12_i23_f04_blend",
+    "j15_i33_answers",
 )
 
 
@@ -55,3 +57,19 @@ def test_a_blend_ranks_hits_without_their_texts(spark, hits, monkeypatch):
     got = []
     assert shuffled(spark, lambda: got.extend(search.j12_i23_f04_blend(spark, "").collect())) < MOST
     assert len(got) == 60 and all(r["rank"] == r["pre_rank"] for r in got)
+
+
+def test_a_context_gets_its_texts_when_it_is_cut(spark, hits, monkeypatch):
+    monkeypatch.setattr(search, "_fused_payload", lambda *a: hits)
+    got = []
+    assert shuffled(spark, lambda: got.extend(search.context_hits(spark, "").collect())) < MOST
+    texts = {r["chunk_id"]: r["text"] for r in hits.collect()}
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"], r["doc_id"], r["text"] == texts[r["chunk_id"]], r["source"]) for r in got) == sorted(
+        (f"q{q}", k + 1, f"c{2 * k + q:02d}", f"d{2 * k + q:02d}", True, "bm25+rerank") for q in (0, 1) for k in range(5)
+    )
+
+
+def test_reranked_hits_may_leave_their_texts(spark, hits):
+    assert shuffled(spark, lambda: retrieval.deduplicated(retrieval.lexical_rerank(hits, whole=False)).collect()) < MOST
+    same = [[tuple(r) for r in retrieval.deduplicated(retrieval.lexical_rerank(hits, whole=w)).orderBy("query_id", "rank").collect()] for w in (True, False)]
+    assert same[0] == same[1] and len(same[0]) == 60
