@@ -15,6 +15,7 @@ SEARCHES = (
     "j12_i23_f04_blend",
     "j15_i33_answers",
     "k07_e11_g10_weight_ablation",
+    "i38_parsed_context",
 )
 
 
