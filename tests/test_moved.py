@@ -16,6 +16,7 @@ SEARCHES = (
     "j15_i33_answers",
     "k07_e11_g10_weight_ablation",
     "i38_parsed_context",
+    "b12_a15_json_summary",
 )
 
 
