@@ -17,6 +17,7 @@ SEARCHES = (
     "k07_e11_g10_weight_ablation",
     "i38_parsed_context",
     "b12_a15_json_summary",
+    "c24_source_cards",
 )
 
 
