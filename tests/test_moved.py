@@ -18,6 +18,7 @@ SEARCHES = (
     "i38_parsed_context",
     "b12_a15_json_summary",
     "c24_source_cards",
+    "i34_trace_ids",
 )
 
 
