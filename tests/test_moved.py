@@ -19,6 +19,7 @@ SEARCHES = (
     "b12_a15_json_summary",
     "c24_source_cards",
     "i34_trace_ids",
+    "j19_i30_e14_e15_d14_gate",
 )
 
 
