@@ -20,6 +20,7 @@ SEARCHES = (
     "c24_source_cards",
     "i34_trace_ids",
     "j19_i30_e14_e15_d14_gate",
+    "k09_generation_modes",
 )
 
 
