@@ -16,6 +16,7 @@ SEARCHES = (
     "j15_i33_answers",
     "k07_e11_g10_weight_ablation",
     "i38_parsed_context",
+    "j09_d07_e03_e04_g03_rrf",
     "k04_k06_e09_d09_f05_f06_retrieval_metrics",
     "b12_a15_json_summary",
     "c24_source_cards",
