@@ -1,14 +1,19 @@
 """What searches shuffle: no pairs of queries and chunks, no texts of hits that are ranked."""
 
 import os
+import pathlib
 import random
 import string
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lectern.operators import evaluation, retrieval
+from lectern.functions import text as tx
+from lectern.operators import evaluation, indexing, retrieval
 from lectern.plans import search
+from lectern.session import shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
 SEARCHES = (
@@ -89,3 +94,42 @@ def test_reranked_hits_may_leave_their_texts(spark, hits):
     assert shuffled(spark, lambda: retrieval.deduplicated(retrieval.lexical_rerank(hits, whole=False)).collect()) < MOST
     same = [[tuple(r) for r in retrieval.deduplicated(retrieval.lexical_rerank(hits, whole=w)).orderBy("query_id", "rank").collect()] for w in (True, False)]
     assert same[0] == same[1] and len(same[0]) == 60
+
+
+def written(spark, run):
+    """The Parquet files that run() leaves in the shared folder."""
+
+    def files():
+        return set(pathlib.Path(shared_folder(spark).removeprefix("file:")).rglob("*.parquet"))
+
+    before = files()
+    run()
+    return [p for p in files() - before if p.is_file()]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
+def test_fusing_two_lists_writes_no_vectors(spark, tmp_path):
+    """Of the index, which is made anew here, only tokens and statistics are written."""
+    folder = tmp_path / "in"
+    folder.symlink_to(FOLDER)
+    files = written(spark, lambda: search.j09_d07_e03_e04_g03_rrf(spark, str(folder)).collect())
+    columns = {c for p in files for c in pq.read_schema(p).names}
+    assert "tokens" in columns and "embedding" not in columns
+
+
+def test_both_searches_are_those_of_each_list(spark):
+    rng = random.Random(5)
+    words = ["课", "程", "图", "书", "馆", "考", "试", "cs101", "2024", "a", "b"]
+    chunks = spark.createDataFrame([(f"c{i:03d}", None if i == 7 else rng.choices(words, k=rng.randrange(12))) for i in range(200)], "chunk_id string, tokens array<string>").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.choices([*words, "zz"], k=i))) for i in range(9)], "query_id string, question string")
+    index = indexing.built(chunks)
+    got = retrieval.both_searches(queries, index, top_k=10)
+    said = tx.sparse_tokens(F.col("question"))
+    want = {
+        "dense": retrieval.dense_search(*(indexing.hashed_embeddings(t, k, tokens=c, by="md5", normed=False) for t, k, c in ((queries, "query_id", said), (chunks, "chunk_id", F.coalesce("tokens", F.array().cast("array<string>"))))), top_k=10),
+        "bm25": retrieval.sparse_search(queries, index, top_k=10),
+    }
+    for mode in want:
+        rows = [sorted(map(tuple, x[mode].select("query_id", "chunk_id", "score", "rank").collect())) for x in (got, want)]
+        assert rows[0] == rows[1]
+        assert len(rows[0]) == 90
