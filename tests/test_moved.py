@@ -4,16 +4,20 @@ import os
 import pathlib
 import random
 import string
+import subprocess
+import sys
+import time
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lectern.functions import text as tx
-from lectern.operators import evaluation, indexing, retrieval
+from lectern.operators import evaluation, indexing, ingest, retrieval
 from lectern.plans import search
-from lectern.session import shared_folder
+from lectern.session import shared_folder, table
 
 FOLDER = "/root/testdata/sf0.001"
 SEARCHES = (
@@ -107,6 +111,40 @@ def written(spark, run):
     return [p for p in files() - before if p.is_file()]
 
 
+@pytest.fixture
+def repeating(tmp_path):
+    """A folder of the test tables in which five chunks stand twice."""
+    if not os.path.isdir(FOLDER):
+        pytest.skip("needs the test tables")
+    chunks = pq.read_table(f"{FOLDER}/chunks.parquet")
+    pq.write_table(pa.concat_tables([chunks, chunks.slice(3, 5)]), tmp_path / "chunks.parquet")
+    (tmp_path / "eval_cases.parquet").symlink_to(f"{FOLDER}/eval_cases.parquet")
+    return str(tmp_path)
+
+
+def test_a_context_needs_no_copy_of_the_chunks(spark, repeating):
+    files = written(spark, lambda: search.i38_parsed_context(spark, repeating).collect())
+    assert sum(pq.read_metadata(p).num_rows for p in files if "embedding_text" in pq.read_schema(p).names) == 5
+
+
+def test_many_repeated_chunks_are_found_in_a_copy(spark, repeating, monkeypatch):
+    few = search.chunk_table(spark, repeating)
+    monkeypatch.setattr(ingest, "REGISTRY_ROWS", 2)
+    many = search.chunk_table(spark, repeating)
+    assert few.columns == many.columns and few.count() == many.count() == table(spark, FOLDER, "chunks").count()
+    assert few.exceptAll(many).count() == 0
+
+
+def test_scratch_tables_end_with_the_application(tmp_path):
+    code = "import sys\nfrom pyspark.sql import SparkSession\nfrom lectern.session import settled\ns = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', sys.argv[1]).getOrCreate()\nassert settled(s.range(9)).count() == 9\ns.stop()"
+    subprocess.run([sys.executable, "-c", code, str(tmp_path)], check=True, timeout=120)
+    for _ in range(100):  # the JVM may end after its parent
+        if not (left := list(tmp_path.rglob("*.parquet"))):
+            break
+        time.sleep(0.2)
+    assert not left
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
 def test_fusing_two_lists_writes_no_vectors(spark, tmp_path):
     """Of the index, which is made anew here, only tokens and statistics are written."""
