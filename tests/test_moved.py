@@ -7,6 +7,7 @@ import string
 import subprocess
 import sys
 import time
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -171,3 +172,21 @@ def test_both_searches_are_those_of_each_list(spark):
         rows = [sorted(map(tuple, x[mode].select("query_id", "chunk_id", "score", "rank").collect())) for x in (got, want)]
         assert rows[0] == rows[1]
         assert len(rows[0]) == 90
+
+
+def test_a_hit_is_scored_without_lists_of_its_terms(spark):
+    """The score equals that of term counts, and no list of a text's terms goes from Spark to Python."""
+    rng = random.Random(7)
+    words = ["图书馆", "图图图", "开放", "cs101", "2024", "A", "ab", "3.5", " ", "，", "K", "İ", "\U00020000", "\n"]
+    some = lambda n: "".join(rng.choices(words, k=n))
+    rows = [(some(30), some(8), some(5), "library") for _ in range(200)] + [(None, None, None, None), ("", "图图", "图", "library"), ("图图图", "图图图图", None, None)]
+    df = spark.createDataFrame(rows, "text string, question string, title string, category string")
+    terms = [tx.rerank_tokens(F.coalesce(c, F.lit(""))) for c in ("text", "question")]
+    low = F.lower(F.coalesce("title", F.lit("")))
+    titled = F.size(F.filter(F.array_distinct(terms[1]), lambda t: (F.length(t) > 1) & F.contains(low, t)))
+    got = df.select(retrieval._matched(F.lower(F.coalesce("text", F.lit(""))), F.lower(F.coalesce("question", F.lit(""))), low).alias("m"), *terms, titled).collect()
+    for (overlap, title), said, asked, want in got:
+        have, wanted = Counter(said), Counter(t for t in asked if len(t) >= 2)
+        assert (overlap, title) == (2.0 * sum(min(n, have[t]) for t, n in wanted.items()), want)
+    plan = df.select(retrieval.lexical())._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("ArrowEvalPython") == 1
