@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lectern.functions import hashing
 from lectern.functions import text as tx
 from lectern.operators import evaluation, indexing, ingest, retrieval
 from lectern.plans import search
@@ -190,3 +191,20 @@ def test_a_hit_is_scored_without_lists_of_its_terms(spark):
         assert (overlap, title) == (2.0 * sum(min(n, have[t]) for t, n in wanted.items()), want)
     plan = df.select(retrieval.lexical())._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_tokens_of_a_batch_equal_those_of_each_text(spark):
+    rng = random.Random(11)
+    words = ["课", "程一鿿", "CS101", "2024", "1999.5", "3.", ".7", "abcdefghijk12345678", "A", "ab", " ", "，", "K", "İ", "é", "\U00020000", "\n", "٣", "ſ", "4567.89.1"]
+    rows = [("".join(rng.choices(words, k=rng.randrange(40))),) for _ in range(1500)] + [(None,), ("",), ("\n",), ("課。A",)]
+    df = spark.createDataFrame(rows, "t string").repartition(2)
+    both = df.select(tx.sparse_tokens(F.coalesce("t", F.lit(""))).alias("want"), hashing.tokenizer()(F.col("t")).alias("got")).collect()
+    assert len(both) == len(rows) and all(r["want"] == r["got"] for r in both)
+
+
+def test_the_index_by_chunk_is_tokenized_in_batches(spark, repeating, monkeypatch):
+    seen = []
+    monkeypatch.setattr(search.writers, "token_index", lambda df, path: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.limit(0).write.parquet(f"{path}/tokens"))
+    monkeypatch.setattr(indexing, "open_token_index", lambda spark, path: path)
+    search.sparse(spark, repeating)
+    assert "regexp_extract_all" not in seen[0] and "ArrowEvalPython" in seen[0]
