@@ -208,3 +208,11 @@ def test_the_index_by_chunk_is_tokenized_in_batches(spark, repeating, monkeypatc
     monkeypatch.setattr(indexing, "open_token_index", lambda spark, path: path)
     search.sparse(spark, repeating)
     assert "regexp_extract_all" not in seen[0] and "ArrowEvalPython" in seen[0]
+
+
+@pytest.mark.parametrize("name", ["b12_a15_json_summary"])
+def test_the_cases_are_read_once(spark, repeating, monkeypatch, name):
+    read = []
+    monkeypatch.setattr(search, "table", lambda spark, d, t: read.append(t) or table(spark, d, t))
+    entry.queries()[name](spark, repeating).collect()
+    assert read.count("eval_cases") == 1
