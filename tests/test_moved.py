@@ -20,6 +20,7 @@ from lectern.functions import text as tx
 from lectern.operators import evaluation, indexing, ingest, retrieval
 from lectern.plans import search
 from lectern.session import shared_folder, table
+from lectern.sources import writers
 
 FOLDER = "/root/testdata/sf0.001"
 SEARCHES = (
@@ -210,9 +211,18 @@ def test_the_index_by_chunk_is_tokenized_in_batches(spark, repeating, monkeypatc
     assert "regexp_extract_all" not in seen[0] and "ArrowEvalPython" in seen[0]
 
 
-@pytest.mark.parametrize("name", ["b12_a15_json_summary"])
+@pytest.mark.parametrize("name", ["b12_a15_json_summary", "i34_trace_ids"])
 def test_the_cases_are_read_once(spark, repeating, monkeypatch, name):
     read = []
     monkeypatch.setattr(search, "table", lambda spark, d, t: read.append(t) or table(spark, d, t))
     entry.queries()[name](spark, repeating).collect()
     assert read.count("eval_cases") == 1
+
+
+def test_the_mean_length_is_known_without_tokens(spark, tmp_path):
+    tokenized = spark.createDataFrame([("c1", ["a", "b"]), ("c2", []), ("c3", ["a"] * 7)], "chunk_id string, tokens array<string>")
+    writers.token_index(tokenized, str(tmp_path))
+    said = spark.read.parquet(f"{tmp_path}/tokens")
+    totals = indexing.corpus(said)
+    assert "tokens" not in totals._jdf.queryExecution().executedPlan().toString().partition("ReadSchema")[2]
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/totals").collect()] == [(3, 3.0)] == [tuple(r) for r in indexing.corpus(said.drop("dl")).collect()]
