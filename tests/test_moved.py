@@ -211,7 +211,7 @@ def test_the_index_by_chunk_is_tokenized_in_batches(spark, repeating, monkeypatc
     assert "regexp_extract_all" not in seen[0] and "ArrowEvalPython" in seen[0]
 
 
-@pytest.mark.parametrize("name", ["b12_a15_json_summary", "i34_trace_ids"])
+@pytest.mark.parametrize("name", ["b12_a15_json_summary", "i34_trace_ids", "k09_generation_modes"])
 def test_the_cases_are_read_once(spark, repeating, monkeypatch, name):
     read = []
     monkeypatch.setattr(search, "table", lambda spark, d, t: read.append(t) or table(spark, d, t))
