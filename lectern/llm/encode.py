@@ -12,7 +12,9 @@ in three ways, each with a bounded sight that is known from the vocabulary:
   L is the longest token of the merge list: that lookahead suffices.  Tokens before the place where the ways back from
   all L prefixes have met are stable.
 
-Stretches between borders recur; a bounded table remembers the tokens of short ones.
+Most stretches are one character, whose tokens stand in a table; of longer ones that recur, a bounded table remembers the
+short ones.  Where pieces and stretches begin is found for all characters of a step at once: characters that the tokens which
+span borders can't tell apart are of one class, and it is known of each two classes whether a token spans their border.
 
 ``TextDecoder`` is the inverse: an incremental state machine from bytes to text that holds back an unfinished character.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 import base64
 import codecs
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -43,7 +46,18 @@ FEED, SIGHT, OPEN = 2048, 3, 256
 REMEMBERED, SHORT = 1 << 17, 32
 #: How a piece goes on, by what it is made of.
 _ON = {"L": regex.compile(r"\p{L}*"), "N": regex.compile(r"\p{N}*"), "S": regex.compile(r"[^\s\p{L}\p{N}]*"), "W": regex.compile(r"\s*")}
+_WHITE = list(_ON).index("W")
 _NEVER = 1 << 60
+_SPACE, _QUOTE = 32, 39
+#: What follows the quote of a contraction in PATTERN.
+_CONTRACTED = [[ord(c) for c in end] for end in ("s", "t", "re", "ve", "m", "ll", "d")]
+_NOTHING = np.empty(0, dtype=np.int32)
+#: The vocabulary that a process used last, with what it has learned, for its next task.
+_KEPT: list[Vocabulary] = []
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,6 +87,15 @@ class Vocabulary:
         self._fits: dict[tuple[bytes, bytes], bool] = {}
         self._crossed: dict[str, bool] = {}
         self._ids: dict[str, list[int]] = {}
+        self._packed: dict[str, bytes] = {}
+        # of each code point: what it is made of (an index of _ON), the classes of its ends (0: not known yet), its tokens (each plus one) and their number
+        self._kind = np.zeros(0x110000, dtype=np.uint8)
+        self._left, self._right = np.zeros(0x110000, dtype=np.uint16), np.zeros(0x110000, dtype=np.uint16)
+        self._char_ids, self._char_n = np.zeros((0x110000, 4), dtype=np.int32), np.zeros(0x110000, dtype=np.uint8)
+        self._befores, self._afters = {b for b, _ in self.spanned}, {a for _, a in self.spanned}
+        self._lefts: dict[tuple, int] = {}
+        self._rights: dict[tuple, int] = {}
+        self._spans = np.zeros((1, 1), dtype=bool)
 
     def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes this one; None of a single byte."""
@@ -147,25 +170,99 @@ class Vocabulary:
                 self._ids.clear()
             self._ids[text] = ids
 
+    def _learn(self, codes: np.ndarray) -> None:
+        for c in set(codes.tolist()):
+            char = chr(c)
+            data = char.encode("utf-8")
+            left = tuple(data[i:] for i in range(len(data)) if data[i:] in self._befores)
+            right = tuple(data[:j] for j in range(1, len(data) + 1) if data[:j] in self._afters)
+            self._left[c] = self._lefts.setdefault(left, len(self._lefts) + 1)
+            self._right[c] = self._rights.setdefault(right, len(self._rights) + 1)
+            self._kind[c] = next(n for n, on in enumerate(_ON.values()) if on.match(char).end())
+            ids = self.stretch(char)
+            self._char_ids[c, : len(ids)], self._char_n[c] = [i + 1 for i in ids], len(ids)
+        if self._spans.shape != (len(self._lefts) + 1, len(self._rights) + 1):
+            self._spans = np.zeros((len(self._lefts) + 1, len(self._rights) + 1), dtype=bool)
+            for left, i in self._lefts.items():
+                for right, j in self._rights.items():
+                    self._spans[i, j] = any((b, a) in self.spanned for b in left for a in right)
+
+    def starts(self, text: str, codes: np.ndarray) -> np.ndarray:
+        """Where pieces begin, for each character of a text that begins with a piece."""
+        if not (known := self._left.take(codes) > 0).all():
+            self._learn(codes[~known])
+        if self.pieces.pattern != PATTERN:
+            starts = np.zeros(len(codes), dtype=bool)
+            starts[[m.start() for m in self.pieces.finditer(text)]] = True
+            return starts
+        kind = self._kind.take(codes)
+        starts = np.empty(len(codes), dtype=bool)
+        starts[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+        white = kind == _WHITE
+        # the last white space before something else stands alone, or with what follows if it is a space
+        after = np.flatnonzero(white[:-1] > white[1:]) + 1
+        starts[after - 1] = True
+        starts[after] = codes[after - 1] != _SPACE
+        for at in np.flatnonzero(codes == _QUOTE).tolist() if "'" in text else ():
+            if at == 0 or (kind[at - 1] != kind[at] and codes[at - 1] != _SPACE):
+                said = codes[at + 1 : at + 3].tolist()
+                for end in _CONTRACTED:
+                    if said[: len(end)] == end:
+                        starts[at + 1] = False
+                        starts[at + 1 + len(end) : at + 2 + len(end)] = True
+        return starts
+
+    def closed(self, text: str, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The tokens of closed pieces, given where these begin."""
+        cut = np.empty(len(codes) + 1, dtype=bool)
+        cut[0] = cut[-1] = True
+        np.logical_not(self._spans[self._left.take(codes[:-1]), self._right.take(codes[1:])], out=cut[1:-1])
+        cut[1:-1] |= starts[1:]
+        single = cut[:-1] & cut[1:]
+        chars = codes[single]
+        ids = self._char_ids.take(chars, axis=0).ravel()
+        ids = ids[ids > 0] - 1
+        first = np.flatnonzero(cut[:-1] & ~single)
+        if not len(first):
+            return ids
+        last = np.flatnonzero(cut[1:] & ~single) + 1
+        packed = self._packed
+        blobs = [packed.get(part := text[i:j]) or self._pack(part) for i, j in zip(first.tolist(), last.tolist())]
+        n = self._char_n.take(codes).astype(np.int64)  # of each place where a stretch begins
+        n[first] = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
+        begins = cut[:-1]
+        whose = np.repeat(single[begins], n[begins])
+        out = np.empty(len(whose), dtype=np.int32)
+        out[whose] = ids
+        out[~whose] = np.frombuffer(b"".join(blobs), dtype=np.int32)
+        return out
+
+    def _pack(self, text: str) -> bytes:
+        ids = np.array(self.stretch(text), dtype=np.int32).tobytes()
+        if len(text) <= SHORT:
+            if len(self._packed) > REMEMBERED:
+                self._packed.clear()
+            self._packed[text] = ids
+        return ids
+
     def piece(self, text: str) -> list[int]:
         """The tokens of a closed piece."""
         ids = self._ids.get(text)
         if ids is not None:
             return ids
-        ids, start, known, found = [], 0, self._crossed, self._ids
+        ids, start = [], 0
         for i in range(1, len(text)):
-            pair = text[i - 1 : i + 1]
-            crossed = known.get(pair)
-            if crossed is None:
-                crossed = self.crossed(pair)
-            if not crossed:
-                part = text[start:i]
-                ids += found.get(part) or self.stretch(part)
+            if not self.crossed(text[i - 1 : i + 1]):
+                ids += self.stretch(text[start:i])
                 start = i
-        if start == 0:
-            return self.stretch(text)
-        ids += self.stretch(text[start:])
-        return ids
+        return ids + self.stretch(text[start:])
+
+
+def _kept(ranks: dict[bytes, int], pattern: str) -> Vocabulary:
+    if not _KEPT or _KEPT[0].pieces.pattern != pattern or _KEPT[0].ranks != ranks:
+        _KEPT[:] = [Vocabulary(ranks, pattern)]
+    return _KEPT[0]
 
 
 class _Run:
@@ -265,27 +362,29 @@ class Transducer:
         self.open: _Piece | None = None
         self.made_of = ""
 
-    def feed(self, text: str) -> list[int]:
+    def feed(self, text: str) -> np.ndarray:
         if self.open is not None:
             return self._go_on(text)
         self.text += text
-        at, limit, ids, known = 0, len(self.text) - SIGHT, [], self.v._ids
-        for piece in self.v.pieces.findall(self.text):
-            if at + len(piece) > limit:
-                break
-            at += len(piece)
-            ids += known.get(piece) or self.v.piece(piece)
+        if not self.text:
+            return _NOTHING
+        codes = _codes(self.text)
+        starts = self.v.starts(self.text, codes)
+        ends = np.append(np.flatnonzero(starts)[1:], len(codes))
+        closed = ends[ends <= len(codes) - SIGHT]
+        at = int(closed[-1]) if len(closed) else 0
+        ids = self.v.closed(self.text[:at], codes[:at], starts[:at]) if at else _NOTHING
         self.text = self.text[at:]
         if len(self.text) > self.most_open:  # one piece that goes on, but for its last few characters
             body, self.text, self.open = self.text, "", _Piece(self.v)
             probe = body[1:2] if body[0] == " " and not body[1].isspace() else body[0]
             self.made_of = "W" if regex.match(r"\s", probe) else "L" if regex.match(r"\p{L}", probe) else "N" if regex.match(r"\p{N}", probe) else "S"
             lead = len(body) - len(body.lstrip(" ")) if self.made_of != "W" else 0
-            ids += self.open.add(body[:lead])
-            ids += self._go_on(body[lead:])
+            led = np.array(self.open.add(body[:lead]), dtype=np.int32)
+            ids = np.concatenate((ids, led, self._go_on(body[lead:])))
         return ids
 
-    def _go_on(self, text: str) -> list[int]:
+    def _go_on(self, text: str) -> np.ndarray:
         text, self.text = self.text + text, ""
         end = _ON[self.made_of].match(text).end()
         more = text[:end]
@@ -295,16 +394,14 @@ class Transducer:
         if end < len(text):
             ids += self.open.finish()
             self.open = None
-            ids += self.feed(text[end:])
-        return ids
+            return np.concatenate((np.array(ids, dtype=np.int32), self.feed(text[end:])))
+        return np.array(ids, dtype=np.int32)
 
-    def finish(self) -> list[int]:
-        ids = []
+    def finish(self) -> np.ndarray:
         if self.open is not None:
-            ids += self.open.add(self.text) + self.open.finish()
+            ids = np.array(self.open.add(self.text) + self.open.finish(), dtype=np.int32)
         else:
-            for piece in self.v.pieces.findall(self.text):
-                ids += self.v.piece(piece)
+            ids = np.array([i for piece in self.v.pieces.findall(self.text) for i in self.v.piece(piece)], dtype=np.int32)
         self.open, self.text = None, ""
         return ids
 
@@ -323,14 +420,16 @@ class TextDecoder:
         return self.state.decode(b"", True)
 
 
-def encode_text(text: str | None, vocabulary: Vocabulary, feed: int = FEED) -> list[int]:
+def ids_of(text: str | None, vocabulary: Vocabulary, feed: int = FEED) -> np.ndarray:
     if not text:
-        return []
+        return _NOTHING
     stream = Transducer(vocabulary, min(feed, OPEN))
-    ids = []
-    for at in range(0, len(text), feed):
-        ids += stream.feed(text[at : at + feed])
-    return ids + stream.finish()
+    ids = [stream.feed(text[at : at + feed]) for at in range(0, len(text), feed)]
+    return np.concatenate((*ids, stream.finish()))
+
+
+def encode_text(text: str | None, vocabulary: Vocabulary, feed: int = FEED) -> list[int]:
+    return ids_of(text, vocabulary, feed).tolist()
 
 
 def encoded(docs: DataFrame, vocabulary_path: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,11 +439,11 @@ def encoded(docs: DataFrame, vocabulary_path: str = VOCABULARY, pattern: str = P
     schema = T.StructType([narrow.schema.fields[0], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(ranks.value, pattern)
+        vocabulary = _kept(ranks.value, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                lists = [np.array(encode_text(t, vocabulary), dtype=np.int32) for t in part.column(1).to_pylist()]
+                lists = [ids_of(t, vocabulary) for t in part.column(1).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
                 flat = pa.array(np.concatenate(lists))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[id_col, "ids"])

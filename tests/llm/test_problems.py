@@ -503,6 +503,29 @@ def test_runs_without_breaks(vocabulary, library, text):
     assert encode.encode_text(text, vocabulary, 128) == encode.encode_text(text, vocabulary) == library.encode_ordinary(text)
 
 
+def test_pieces_are_closed_together(vocabulary, library, monkeypatch):
+    alone = []
+    piece = encode.Vocabulary.piece
+    monkeypatch.setattr(encode.Vocabulary, "piece", lambda self, text: alone.append(text) or piece(self, text))
+    text = "".join(f"第{i}条 学校教务部、the school's office（2024）答复：{chr(0x4E00 + i)}{chr(0x5E00 + 3 * i)}。\n" for i in range(600))
+    assert encode.encode_text(text, vocabulary) == library.encode_ordinary(text)
+    assert sum(map(len, alone)) < 200  # only what is left at the end
+
+
+def test_pieces_begin_where_the_pattern_says(vocabulary):
+    rng = random.Random(5)
+    signs = " '  \n\t\r\x1c\x85\xa0\u2028\u3000abstrevmldSTL019!?.,_-é½Ⅷ中文学\u0301\u0663😀\U00020000"
+    for _ in range(5000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 14)))
+        begins = vocabulary.starts(text, encode._codes(text))
+        assert begins.nonzero()[0].tolist() == [m.start() for m in vocabulary.pieces.finditer(text)]
+
+
+def test_another_pattern_has_its_own_pieces(vocabulary):
+    ids = encode.encode_text("don't 学校 and  schools", encode.Vocabulary(vocabulary.ranks, r"\S+|\s+"))
+    assert ids == tiktoken.Encoding("other", pat_str=r"\S+|\s+", mergeable_ranks=vocabulary.ranks, special_tokens={}).encode_ordinary("don't 学校 and  schools")
+
+
 def test_a_run_is_encoded_in_bounded_memory(vocabulary):
     run = encode._Run(vocabulary)
     for _ in range(40):
