@@ -19,6 +19,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
+
+import numpy as np
 
 from lectern.functions import html
 
@@ -94,6 +97,8 @@ _CONTACT = re.compile(r"\d{3,}|\w@\w|X{3,}|^ {4}|\[[^\]]{3,}\]|联系|电话|邮
 LINK_WIDE, LINK_WORDS, MATTER = 7, 5, 80
 #: Characters of a line that is too long for a margin.
 LONG = 120
+#: Short lines whose forms are remembered: many stand in many pages.
+REMEMBERED = 1 << 14
 
 
 _ENDS = re.compile(r"[。.!！;；:：]\W*$")
@@ -135,12 +140,16 @@ def _taken_up(key: str, rest: str) -> int:
 
 def _tells(b) -> bool:
     """Whether a line is matter by its form: long, or a sentence."""
-    if b.kind != TEXT or len(b.line) > LONG:
-        return b.kind == TEXT
-    if _MARGINAL.search(b.line) or _items(b.line) >= 2:
-        return False
-    some = len(b.key) > LINK_WIDE if _CJK.search(b.line) else len(b.line.split()) > LINK_WORDS
-    return len(b.key) >= 40 or (some and bool(_SENTENCE.search(b.line)))
+    return b.kind == TEXT and (len(b.line) > LONG or _short_tells(b.line, len(b.key)))
+
+
+@lru_cache(REMEMBERED)
+def _short_tells(line: str, letters: int) -> bool:
+    if letters < 40:
+        some = letters > LINK_WIDE if _CJK.search(line) else len(line.split()) > LINK_WORDS
+        if not (some and _SENTENCE.search(line)):
+            return False
+    return not (_MARGINAL.search(line) or _items(line) >= 2)
 
 
 def _mark_margins(blocks: list[Block], at: int, known: bool) -> int:
@@ -148,16 +157,21 @@ def _mark_margins(blocks: list[Block], at: int, known: bool) -> int:
 
     A page without sentences has no matter to be outside of; its lines stay what they are.
     """
-    told = [i for i, b in enumerate(blocks) if _tells(b) and not (known and i == at)]
-    if sum(len(blocks[i].key) * (2 if _CJK.search(blocks[i].line) else 1) for i in told) < MATTER:
+    first, letters = -1, 0
+    for i, b in enumerate(blocks):
+        if _tells(b) and not (known and i == at):
+            first = i if first < 0 else first
+            letters += len(b.key) * (2 if _CJK.search(b.line) else 1)
+            if letters >= MATTER:
+                break
+    else:
         return at
-    first = told[0]
     taken: dict[int, int] = {}
     if not known and at >= first:
         at = -1  # a sentence
     elif not known and at >= 0:
         # the title isn't given: of the lines above the matter it is the one whose words the matter takes up
-        rest = "".join(blocks[i].key for i in told)
+        rest = "".join(b.key for b in blocks if _tells(b))
         above = [i for i in range(first) if blocks[i].kind == TEXT and not (_items(blocks[i].line) >= 2 or _MARGINAL.search(blocks[i].line))]
         taken = {i: _taken_up(blocks[i].key, rest) for i in above}
         if not taken.get(at):
@@ -183,8 +197,48 @@ def key_of(line: str) -> str:
     return _NOT_KEY.sub("", line.lower())
 
 
+@lru_cache(1)
+def _in_keys() -> np.ndarray:
+    """Which code points of the basic plane stay in a key; line breaks do as well, so that keys can be told apart."""
+    return np.array([c == 10 or not _NOT_KEY.match(chr(c)) for c in range(0x10000)])
+
+
+def keys_of(lines: list[str]) -> list[str]:
+    """key_of() each line, of all at once."""
+    low = "\n".join(lines).lower()
+    data = low.encode("utf-16-le", "surrogatepass")
+    if len(data) == 2 * len(low):  # all of the basic plane
+        codes = np.frombuffer(data, dtype="<u2")
+        keys = codes[_in_keys().take(codes)].tobytes().decode("utf-16-le", "surrogatepass").split("\n")
+        if len(keys) == len(lines):
+            return keys
+    return [key_of(line) for line in lines]
+
+
+#: Characters that folding may change or leave out: all but some that it never does, next to any of their like.
+_ODD = re.compile("[^\t\n -~·À-ÿ‐‒-—‘’“”•、-〃々-〩一-鿿]")
+#: Different ones that are replaced one after another.
+MOST_ODD = 24
+
+
+@lru_cache(REMEMBERED)
+def _fold(c: str) -> str | None:
+    """What folding makes of a character whatever its neighbours are; None where it may depend on them (marks, parts of syllables)."""
+    out = unicodedata.normalize("NFKC", c)
+    if any(x > "\uffff" or "\u1100" <= x <= "\u11ff" or unicodedata.category(x)[0] == "M" for x in c + out):
+        return None
+    return _INVISIBLE.sub("", out)
+
+
 def folded(text: str) -> str:
-    return _STRAY.sub(" ", _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
+    odd = set(_ODD.findall(text))
+    new = {c: _fold(c) for c in odd} if len(odd) <= MOST_ODD else {"": None}
+    if None in new.values():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    else:
+        for c, x in new.items():
+            text = text.replace(c, x) if x != c else text
+    return _STRAY.sub(" ", text) if "<" in text or "[" in text else text
 
 
 class Block:
@@ -192,10 +246,9 @@ class Block:
 
     __slots__ = ("no", "line", "key", "kind")
 
-    def __init__(self, no: int, line: str):
-        self.no, self.line = no, line
-        self.key = key_of(line)
-        self.kind = TEXT if self.key else BLANK
+    def __init__(self, no: int, line: str, key: str):
+        self.no, self.line, self.key = no, line, key
+        self.kind = TEXT if key else BLANK
 
 
 #: Elements of markup that hold no matter.
@@ -256,34 +309,43 @@ def _title_at(blocks: list[Block], title_key: str) -> int:
     return -1
 
 
+@lru_cache(REMEMBERED)
+def _worded(line: str, k: str) -> str:
+    """The kind of a line with the key k by its wording alone, TEXT if it says none."""
+    m = _KEYED_RE.match(k)
+    if m:
+        return m.lastgroup
+    if len(line) < 90 and _CRUMBS.match(line):
+        return TRAIL
+    if _NEIGHBOUR.match(line.lstrip("·-*•▪»> ")):
+        return ENTRY
+    if _ADDRESS.match(line):
+        return FOOTER
+    if k in _ASIDE:
+        return ASIDE
+    return MENU if _MENU.fullmatch(k) and not _FIELD.search(line) else TEXT
+
+
+@lru_cache(REMEMBERED)
+def _formed(line: str, letters: int) -> str:
+    """The kind of a stripped line of the matter by its form."""
+    if line.count(" | ") >= 2 or line.count("\t") >= 2:
+        return ROW
+    if _LISTED.match(line):
+        return ITEM
+    if _HEAD.match(line) and len(line) < 60 or (letters < (14 if _CJK.search(line) else 60) and not _SENTENCE.search(line) and not _CLOCK.search(line)):
+        return HEADING
+    return TEXT
+
+
 def parse(text: str, title: str | None = None) -> list[Block]:
     """The blocks of a page, one for each line, each with its kind."""
-    blocks = [Block(i, line) for i, line in enumerate(lines_of(folded(text)), 1)]
+    lines = lines_of(folded(text))
+    blocks = [Block(i, line, key) for i, (line, key) in enumerate(zip(lines, keys_of(lines)), 1)]
     menu_run = []
     for b in blocks:
-        k = b.key
-        if not k:
-            continue
-        if len(k) <= 130:
-            m = _KEYED_RE.match(k)
-            if m:
-                b.kind = m.lastgroup
-                continue
-            if len(b.line) < 90 and _CRUMBS.match(b.line):
-                b.kind = TRAIL
-                continue
-            if _NEIGHBOUR.match(b.line.lstrip("·-*•▪»> ")):
-                b.kind = ENTRY
-                continue
-            if _ADDRESS.match(b.line):
-                b.kind = FOOTER
-                continue
-            if k in _ASIDE:
-                b.kind = ASIDE
-                continue
-            if _MENU.fullmatch(k) and not _FIELD.search(b.line):
-                b.kind = MENU
-                continue
+        if b.key and len(b.key) <= 130:
+            b.kind = (_worded if len(b.line) <= LONG else _worded.__wrapped__)(b.line, b.key)
     # a menu word that stands alone, away from other furniture, is a heading of the matter
     solid = [b for b in blocks if b.kind != BLANK]
     for i, b in enumerate(solid):
@@ -309,12 +371,7 @@ def parse(text: str, title: str | None = None) -> list[Block]:
                 continue
             inside = False
             line = b.line.strip()
-            if line.count(" | ") >= 2 or line.count("\t") >= 2:
-                b.kind = ROW
-            elif _LISTED.match(line):
-                b.kind = ITEM
-            elif _HEAD.match(line) and len(line) < 60 or (len(b.key) < (14 if _CJK.search(line) else 60) and not _SENTENCE.search(line) and not _CLOCK.search(line)):
-                b.kind = HEADING
+            b.kind = (_formed if len(line) <= LONG else _formed.__wrapped__)(line, len(b.key))
         elif b.kind not in (BLANK, ENTRY, MARGIN):
             inside = False
     return blocks

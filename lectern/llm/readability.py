@@ -23,6 +23,7 @@ import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
+from statistics import median
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ _CLASSES = _classes()
 
 def _starts(mask: np.ndarray) -> int:
     """How many runs of true values there are."""
-    return int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
+    return int(mask[0]) + int(np.count_nonzero(mask[1:] > mask[:-1]))
 
 
 @dataclass
@@ -97,22 +98,27 @@ class Measures:
 def measures(text: str) -> Measures | None:
     """What the formulas need of a body; None where there are no words."""
     low = text.lower()
-    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    kinds = np.where(codes < 0x10000, _CLASSES[codes & 0xFFFF], 0)
+    data = low.encode("utf-16-le", "surrogatepass")
+    if len(data) == 2 * len(low):  # all of the basic plane
+        codes = np.frombuffer(data, dtype="<u2")
+        kinds = _CLASSES.take(codes)
+    else:
+        codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        kinds = np.where(codes < 0x10000, _CLASSES[codes & 0xFFFF], 0)
     han = (kinds & HAN) > 0
-    n_han = int(han.sum())
-    if n_han > 0.5 * int((kinds == LETTER).sum()):
+    n_han = np.count_nonzero(han)
+    if n_han > 0.5 * np.count_nonzero(kinds == LETTER):
         solid = codes > 32
-        clauses = _starts(solid & ((kinds & CLAUSE_END) == 0))
-        clause = int((solid & ((kinds & CLAUSE_END) == 0)).sum()) / max(1, clauses)
+        said = solid & ((kinds & CLAUSE_END) == 0)
+        clause = int(np.count_nonzero(said)) / max(1, _starts(said))
         sentences = _starts(solid & ((kinds & SENTENCE_END) == 0)) or 1
         unit = han & ((kinds & FUNCTION) == 0)
         units = _starts(unit) or 1
-        both = han[:-1] & han[1:]
-        c = codes.astype(np.uint64)
-        mixed = (c[:-1][both] * np.uint64(0x9E3779B1) + c[1:][both] * np.uint64(0x85EBCA77)) & np.uint64(0xFFFFFFFF)
-        terms = (mixed >> np.uint64(32 - BITS)).astype(np.int32)
-        return Measures(True, clause, float(np.log(max(1.0, units / sentences))), int(unit.sum()) / units, terms)
+        both = np.flatnonzero(han[:-1] & han[1:])
+        # modulo 2**32
+        mixed = codes[both].astype(np.uint32) * np.uint32(0x9E3779B1) + codes[both + 1].astype(np.uint32) * np.uint32(0x85EBCA77)
+        terms = (mixed >> np.uint32(32 - BITS)).astype(np.int32)
+        return Measures(True, clause, float(np.log(max(1.0, units / sentences))), int(np.count_nonzero(unit)) / units, terms)
     words = _WORD.findall(low)
     if not words:
         return None
@@ -225,9 +231,9 @@ def fit(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_RATED) -> Mo
     def measured(batches):
         model, total, n, mean = shared.value
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                m = Measures(r["wide"], r["clause"], r["sentence"], r["syllables"], np.array(r["terms"], dtype=np.int32))
+            rows, terms = [], b.column("terms")
+            for i, r in enumerate(b.select(["grade", "wide", "clause", "sentence", "syllables"]).to_pylist()):
+                m = Measures(r["wide"], r["clause"], r["sentence"], r["syllables"], terms[i].values.to_numpy(zero_copy_only=False))
                 x = model.inputs(m)
                 t = m.terms[n[m.terms] > 0]
                 # a document's own rating must not speak through its terms
@@ -284,7 +290,7 @@ def levels(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 body = body_text(text, title)
                 m = measures(body) if body else None
                 got = model.levels(m) if m else {}
-                grade = float(np.median(list(got.values()))) if got else None
+                grade = median(got.values()) if got else None
                 rows.append((grade, None if grade is None else int(grade + 0.5), *(got.get(n) for n in numbers)))
             columns = list(zip(*rows)) if rows else [()] * 5
             types = [pa.float64(), pa.int32(), *[pa.float64()] * 3]

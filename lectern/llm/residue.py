@@ -17,6 +17,7 @@ furniture and title: one open detail in a real page, or a script notice in its m
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -62,6 +63,8 @@ _FILLER_PHRASE = re.compile(
     r"占位(?:文本|文字|内容)|样例段落|示例(?:文本|段落)|段落文字|在此(?:输入|添加)|测试测试|(?:正文){3}|replace this text|your (?:own )?text here|text goes here"
     r"|sample (?:paragraph|text)|placeholder (?:text|content)|lorem ipsum",
 )
+#: Each of these phrases holds one of these.
+_FILLER_SIGNS = ("text", "paragraph", "content", "lorem ipsum", "占位", "样例段落", "示例", "段落文字", "在此", "测试测试", "正文正文")
 _MARKS = re.compile(r"[{%_«<\[【X]")
 _UNIT = re.compile(r"[^。.!!??,,、;;\s]+")
 _LOOPED = re.compile(r"(.{2,12}?)[。.,, ]?(?:\1[。.,, ]?){3,}")
@@ -92,13 +95,13 @@ def _filler(line: str, low: str) -> bool:
     letters = set(line)
     if len(letters) > 45:  # what repeats itself makes do with few characters
         return False
-    phrase = _FILLER_PHRASE.search(low)
+    phrase = _FILLER_PHRASE.search(low) if any(sign in low for sign in _FILLER_SIGNS) else None
     if phrase and (len(line) <= 120 or low.count(phrase.group(0)) >= 3):
         return True
     words = low.split()
     if len(words) >= 8 or not page._CJK.search(line):  # words set apart by spaces
         names = [w.strip(".,;:!?()") for w in words]
-        if len(names) >= 2 and sum(w in _FILLER for w in names) >= 0.5 * len(names):
+        if len(names) >= 2 and sum(map(_FILLER.__contains__, names)) >= 0.5 * len(names):
             return True
         return len(names) >= 8 and len(set(names)) <= 0.35 * len(names)
     if len(letters) > 0.45 * len(line):
@@ -117,7 +120,11 @@ def _teaches(line: str) -> bool:
 
 def kind_of(line: str) -> str | None:
     """placeholder, filler, notice or None: what a folded line of the matter is a remnant of."""
-    line = line.strip()
+    return (_kind_of if len(line) <= page.LONG else _kind_of.__wrapped__)(line.strip())
+
+
+@lru_cache(page.REMEMBERED)
+def _kind_of(line: str) -> str | None:
     if _MARKS.search(line) and _PLACEHOLDER.search(line) and _PLACEHOLDER.search(_QUOTED.sub(" ", line)) and not _teaches(line):
         return "placeholder"
     low = line.lower()
@@ -128,6 +135,8 @@ def kind_of(line: str) -> str | None:
 
 def _code(blocks: list[page.Block]) -> list[bool]:
     """Which lines stand in a code block: between fences or tags (to the end where none closes), or set in behind a colon."""
+    if not any("<" in b.line or "```" in b.line or "~~~" in b.line or b.line.startswith(("    ", "\t")) for b in blocks):
+        return [False] * len(blocks)
     out, inside, set_in, before = [], "", False, ""
     for b in blocks:
         line = b.line

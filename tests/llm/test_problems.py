@@ -2,6 +2,7 @@
 
 import random
 import time
+import types
 import unicodedata
 
 import numpy as np
@@ -441,6 +442,47 @@ def test_overlaps_of_copies_and_of_nothing(spark):
     assert found_pairs(df.limit(0)) == [] and found_pairs(df.where("split_name = 'train'")) == []
 
 
+# 2, 4, 8: pages are folded and keyed as a whole
+
+
+def folded_whole(text):
+    return page._STRAY.sub(" ", page._INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
+
+
+def test_folding_one_by_one_is_folding_whole():
+    rng = random.Random(6)
+    signs = "aÀé中，：（）！　\xa0…©»▪™½①㎡ﬁ\u200b\xad\ufeffＡｂ９ｶﾞ가\u1100\u1161\u11a8한e\u0301\u0323\u09c7\u09be<|x>[pad]Σσ\u0130😀\ufffd\n"
+    for _ in range(5000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 12)))
+        assert page.folded(text) == folded_whole(text)
+        lines = page.folded(text).split("\n")
+        assert page.keys_of(lines) == [page.key_of(line) for line in lines]
+
+
+def test_usual_pages_are_not_normalized_whole(monkeypatch):
+    normalized = []
+    counted = types.SimpleNamespace(category=unicodedata.category, normalize=lambda form, text: normalized.append(text) or unicodedata.normalize(form, text))
+    monkeypatch.setattr(page, "unicodedata", counted)
+    text = "学校教务部：“答复”，（2024年）…… © ▪ »　办事指南！\n" * 200
+    assert page.folded(text) == folded_whole(text) and page.parse(text, "办事指南：")
+    assert sum(map(len, normalized)) < 50  # characters, each once
+
+
+def test_forms_of_short_lines_are_found_once(monkeypatch):
+    searched = []
+
+    class Counted:
+        def search(self, line):
+            searched.append(line)
+            return notices.search(line)
+
+    notices = residue._NOTICES
+    monkeypatch.setattr(residue, "_NOTICES", Counted())
+    for i in range(50):
+        residue.residue_share(f"学院第{i}号通知的全文如下。\n本学院的教学安排由教务部负责。\n请各位同学按时参加考试。", None)
+    assert searched.count("请各位同学按时参加考试。") == 1
+
+
 # 6: encoding
 
 
