@@ -20,6 +20,7 @@ def distinct(rows):
 #: What a query's rows say how many cases they are of, and the number there are.
 SAID = {
     "b12_a15_json_summary": (lambda rows: sum(r["n"] for r in rows), CASES),
+    "c23_citations": (distinct, CASES),
 }
 
 
