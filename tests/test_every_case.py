@@ -21,6 +21,7 @@ def distinct(rows):
 SAID = {
     "b12_a15_json_summary": (lambda rows: sum(r["n"] for r in rows), CASES),
     "c23_citations": (distinct, CASES),
+    "c24_source_cards": (distinct, CASES),
 }
 
 
