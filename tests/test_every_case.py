@@ -22,6 +22,7 @@ SAID = {
     "b12_a15_json_summary": (lambda rows: sum(r["n"] for r in rows), CASES),
     "c23_citations": (distinct, CASES),
     "c24_source_cards": (distinct, CASES),
+    "i34_trace_ids": (lambda rows: min(rows[0]["answers"], rows[0]["traces"]), CASES),
 }
 
 
