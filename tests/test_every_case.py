@@ -23,6 +23,7 @@ SAID = {
     "c23_citations": (distinct, CASES),
     "c24_source_cards": (distinct, CASES),
     "i34_trace_ids": (lambda rows: min(rows[0]["answers"], rows[0]["traces"]), CASES),
+    "j12_i23_f04_blend": (distinct, CASES),
 }
 
 
