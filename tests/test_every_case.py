@@ -25,6 +25,7 @@ SAID = {
     "i34_trace_ids": (lambda rows: min(rows[0]["answers"], rows[0]["traces"]), CASES),
     "j12_i23_f04_blend": (distinct, CASES),
     "j14_j13_hybrid_modes": (lambda rows: min(distinct([r for r in rows if r["mode"] == m]) for m in ("bm25", "dense", "hybrid", "hybrid_rerank")), CASES),
+    "j19_i30_e14_e15_d14_gate": (distinct, CASES),
 }
 
 
