@@ -27,6 +27,7 @@ SAID = {
     "j14_j13_hybrid_modes": (lambda rows: min(distinct([r for r in rows if r["mode"] == m]) for m in ("bm25", "dense", "hybrid", "hybrid_rerank")), CASES),
     "j19_i30_e14_e15_d14_gate": (distinct, CASES),
     "k04_k06_e09_d09_f05_f06_retrieval_metrics": (lambda rows: min(r["answerable"] for r in rows), ANSWERABLE),
+    "k07_e11_g10_weight_ablation": (lambda rows: min(r["answerable"] for r in rows), ANSWERABLE),
 }
 
 
