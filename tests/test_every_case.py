@@ -28,6 +28,7 @@ SAID = {
     "j19_i30_e14_e15_d14_gate": (distinct, CASES),
     "k04_k06_e09_d09_f05_f06_retrieval_metrics": (lambda rows: min(r["answerable"] for r in rows), ANSWERABLE),
     "k07_e11_g10_weight_ablation": (lambda rows: min(r["answerable"] for r in rows), ANSWERABLE),
+    "k09_generation_modes": (lambda rows: min(r["cases"] for r in rows), CASES),
 }
 
 
